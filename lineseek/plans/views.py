@@ -6,57 +6,133 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineseek.functions.text import normalize
-from lineseek.runtime import spread
+from lineseek.operators.ranking import number_lines
+from lineseek.runtime import materialize, spread
 from lineseek.sources.corpus import lines_of
 
-# Characters of one typed query cut from a passage.
-FRAGMENT = 24
+# Characters typed at a time.
+STRETCH = 24
+
+_numbered: dict[tuple[str, str], DataFrame] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return lines_of(
-        documents.select(F.format_string("%s/%d.txt", "source", "doc_id").alias("source_text"), "text")
+    return documents.select(
+        F.format_string("%s/%d.txt", "source", "doc_id").alias("source_text"), "text"
     )
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_of(texts(spark, sf_dir))
+
+
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered lines, prepared once per session and folder and then read back."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _numbered:
+        _numbered[key] = materialize(number_lines(lines(spark, sf_dir)))
+    return _numbered[key]
+
+
+def stretches(text, pattern_flags: str = ""):
+    return F.regexp_extract_all(text, F.lit(pattern_flags + ".{1,%d}" % STRETCH), F.lit(0))
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed queries: every stretch of every passage, three in four with one typing error.
 
     The error is a wrong, a surplus or a missing character, in turn, at a place that
-    moves along with the stretch.
+    moves along with the stretch. `intended` is the stretch without the error.
     """
     passages = read(spark, sf_dir, "benchmark").select(
         "item_id", normalize(F.col("text")).alias("passage")
     )
-    stretches = passages.select(
-        "item_id",
-        F.posexplode(
-            F.regexp_extract_all("passage", F.lit(".{1,%d}" % FRAGMENT), F.lit(0))
-        ).alias("part", "stretch"),
+    parts = passages.select(
+        "item_id", F.posexplode(stretches(F.col("passage"))).alias("part", "intended")
+    ).select(
+        (F.col("item_id") * 1000 + F.col("part")).alias("query_id"),
+        ((F.col("item_id") + F.col("part")) % 4).alias("kind"),
+        F.expr("int((item_id + part) % length(intended)) + 1").alias("place"),
+        "intended",
     )
-    place = F.expr("int((item_id + part) % length(stretch)) + 1")
-    before = F.expr("substring(stretch, 1, place - 1)")
+    before = F.expr("substring(intended, 1, place - 1)")
+    typed = (
+        F.when(F.col("kind") == 0, F.col("intended"))
+        .when(F.col("kind") == 1, F.concat(before, F.lit("q"), F.expr("substring(intended, place + 1)")))
+        .when(F.col("kind") == 2, F.concat(before, F.lit("q"), F.expr("substring(intended, place)")))
+        .otherwise(F.concat(before, F.expr("substring(intended, place + 1)")))
+    )
+    return parts.select("query_id", typed.alias("query_text"), "intended")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk log of whole messages, some with a reset marker inside, some empty or blank."""
+    turn = F.col("conv_id") + F.col("turn")
+    return read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("session_id"),
+        F.col("turn").alias("seq"),
+        F.when(turn % 5 == 3, F.expr("concat(left(text, 10), '#', substring(text, 11))"))
+        .when(turn % 7 == 4, F.lit(""))
+        .when(turn % 11 == 5, F.lit("   "))
+        .otherwise(F.col("text"))
+        .alias("chunk"),
+    )
+
+
+def typed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk log of passages typed stretch by stretch, started over every sixth time."""
+    part = F.col("seq")
     return (
-        stretches.withColumn("place", place)
+        read(spark, sf_dir, "benchmark")
         .select(
-            (F.col("item_id") * 1000 + F.col("part")).alias("query_id"),
-            F.expr("(item_id + part) % 4").alias("kind"),
-            "stretch",
-            before.alias("before"),
-            F.expr("substring(stretch, place)").alias("from_place"),
-            F.expr("substring(stretch, place + 1)").alias("behind"),
+            F.col("item_id").alias("session_id"),
+            F.posexplode(stretches(F.col("text"), "(?s)")).alias("seq", "stretch"),
         )
         .select(
-            "query_id",
-            F.when(F.col("kind") == 0, F.col("stretch"))
-            .when(F.col("kind") == 1, F.concat("before", F.lit("q"), "behind"))
-            .when(F.col("kind") == 2, F.concat("before", F.lit("q"), "from_place"))
-            .otherwise(F.concat("before", "behind"))
-            .alias("query_text"),
+            "session_id",
+            part.cast("long").alias("seq"),
+            F.when(part % 6 == 5, F.concat(F.lit("#"), "stretch"))
+            .when(part % 9 == 4, F.lit(""))
+            .otherwise(F.col("stretch"))
+            .alias("chunk"),
         )
     )
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recogniser answers in two languages for every message, in all accepted shapes."""
+    said = F.col("text")
+    padded = F.concat(F.lit("  "), said, F.lit(" "))
+
+    def alternatives(*transcripts):
+        items = [F.struct(t.alias("transcript"), F.lit(0.5).alias("confidence")) for t in transcripts]
+        return F.to_json(F.struct(F.array(*items).alias("alternative")))
+
+    turn = F.col("turn")
+    default = (
+        F.when(turn % 3 == 0, alternatives(padded, F.lit("second")))
+        .when(turn % 3 == 1, F.lit('{"alternative":[]}'))
+        .otherwise(alternatives(F.lit("   "), F.lit("other")))
+    )
+    fallback = (
+        F.when(turn % 4 == 0, F.lit("{}"))
+        .when(turn % 4 == 1, F.get_json_object(F.to_json(F.struct(F.array(padded).alias("a"))), "$.a"))
+        .when(turn % 4 == 2, F.expr("substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)"))
+        .otherwise(F.lit('{"alternative":[]}'))
+    )
+    answers = F.array(
+        F.struct(F.lit("en-US").alias("language"), default.alias("response")),
+        F.struct(F.lit("en-GB").alias("language"), fallback.alias("response")),
+    )
+    return read(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("recording_id"),
+        F.when(F.col("role") == "user", F.lit("en-US"))
+        .otherwise(F.lit("fr-FR"))
+        .alias("requested_language"),
+        F.inline(answers),
+    )

@@ -1,0 +1 @@
+"""The session, typo and search jobs on streams."""
