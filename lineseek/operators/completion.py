@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineseek.functions import scoring
-from lineseek.functions.text import normalize
+from lineseek.functions.text import has_content, normalize
 from lineseek.operators import seeding
 from lineseek.operators.ranking import top_k
 from lineseek.runtime import materialize
@@ -22,7 +22,7 @@ NO_MATCHES = "No suggestions found."
 
 def admit(queries: DataFrame, text: str = "query_text") -> DataFrame:
     """Add the normalized `query` and keep the rows where something is left of it."""
-    return queries.withColumn("query", normalize(F.col(text))).where(F.col("query") != "")
+    return queries.where(has_content(F.col(text))).withColumn("query", normalize(F.col(text)))
 
 
 def one_edit_seeds(queries: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineseek.functions.text import normalize, split_lines
+from lineseek.functions.text import has_content, normalize, split_lines
 from lineseek.runtime import spread
 
 TEXT_GLOB = "*.txt"
@@ -28,12 +28,13 @@ def lines_of(texts: DataFrame) -> DataFrame:
 
 
 def keep_lines(numbered: DataFrame) -> DataFrame:
-    return numbered.select(
+    """Normalize the lines and drop those with nothing left."""
+    return numbered.where(has_content(F.col("original_sentence"))).select(
         "original_sentence",
         normalize(F.col("original_sentence")).alias("normalized_sentence"),
         "source_text",
         "offset",
-    ).where(F.col("normalized_sentence") != "")
+    )
 
 
 def _relative(path, root: str):
