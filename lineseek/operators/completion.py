@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from lineseek.functions import scoring
 from lineseek.functions.text import has_content, normalize
 from lineseek.operators import seeding
+from lineseek.operators.postings import (
+    INDEX_ROWS,
+    candidate_lines,
+    choose_tokens,
+    fetch_lines,
+)
 from lineseek.operators.ranking import top_k
-from lineseek.runtime import materialize
+from lineseek.runtime import broadcast_if_small, materialize, spread
 
 DEFAULT_K = 5
 # Size of the part of the lines searched first: a share of them within bounds.
@@ -26,35 +32,45 @@ def admit(queries: DataFrame, text: str = "query_text") -> DataFrame:
 
 
 def one_edit_seeds(queries: DataFrame) -> DataFrame:
-    """Pieces of each distinct `query` of which one edit leaves at least one intact.
+    """Pieces of each distinct `query` that a matching line must hold.
 
     The query is cut in two. An edit in the right half leaves the left half whole and an
-    edit in the left half the right one, so a line matches only where one half occurs.
-    `reach` is the best score a meeting with the piece can lead to. The right half is not
-    looked for when no edit in the left half can score above zero (up to three characters).
+    edit in the left half the right one, so a line matches only where one half occurs. The
+    whole query is a third piece, for the case that only an unchanged match is of use.
+
+    A piece is looked for when the score to exceed is below its `reach`, the best score it
+    can lead to, and not below `from_floor`. For a query without a score to exceed (0) that
+    leaves out the right half up to three characters, and both halves up to two.
     """
     length = F.length("query")
     half = F.expr("int((length(query) + 1) div 2)")
-    left = F.struct(
-        F.lit(False).alias("is_right"),
-        F.when(length <= 2, length).otherwise(half).alias("half_length"),
-        F.lit(1).alias("half_start"),
-        scoring.score_exact(length).alias("reach"),
-    )
-    left_edit_best = F.greatest(
-        scoring.score_substitution(length, half), scoring.score_missing_char(length, half)
-    )
-    right = F.struct(
-        F.lit(True).alias("is_right"),
-        (length - half).alias("half_length"),
-        (half + 1).alias("half_start"),
-        left_edit_best.alias("reach"),
-    )
-    sides = F.when((length <= 2) | (left_edit_best <= 0), F.array(left)).otherwise(
-        F.array(left, right)
+
+    def best_edit(until: Column) -> Column:
+        """Best score of an edit at or before a position: penalties only fall with it."""
+        return F.greatest(
+            scoring.score_substitution(length, until), scoring.score_missing_char(length, until)
+        )
+
+    def piece(start: Column, size: Column, reach: Column, from_floor: Column, right: bool):
+        return F.struct(
+            start.alias("half_start"),
+            size.alias("half_length"),
+            reach.alias("reach"),
+            from_floor.alias("from_floor"),
+            F.lit(right).alias("is_right"),
+        )
+
+    nothing, first = F.lit(0), F.lit(1)
+    any_edit = best_edit(length)
+    pieces = F.array(
+        piece(first, length, scoring.score_exact(length), F.greatest(any_edit, nothing), False),
+        piece(first, half, any_edit, nothing, False),
+        piece(half + 1, length - half, best_edit(half), nothing, True),
     )
-    halves = queries.select("query", F.inline(sides)).withColumn(
-        "half", F.expr("substring(query, half_start, half_length)")
+    halves = (
+        queries.select("query", F.inline(pieces))
+        .where(F.col("reach") > 0)
+        .withColumn("half", F.expr("substring(query, half_start, half_length)"))
     )
     width = seeding.seed_width(F.col("half_length"))
     # Each half is looked up by that of its windows which fewest other halves share, so
@@ -74,7 +90,14 @@ def one_edit_seeds(queries: DataFrame) -> DataFrame:
     picked = (
         windows.join(shared, "seed_key")
         .groupBy(
-            "query", "is_right", "half", "half_start", "half_length", "reach", "seed_width"
+            "query",
+            "is_right",
+            "half",
+            "half_start",
+            "half_length",
+            "reach",
+            "from_floor",
+            "seed_width",
         )
         .agg(
             F.min(F.struct("_shared", "_offset", "seed_key")).alias("_pick"),
@@ -83,6 +106,7 @@ def one_edit_seeds(queries: DataFrame) -> DataFrame:
     return picked.select(
         "query",
         "reach",
+        "from_floor",
         "half",
         "half_length",
         "seed_width",
@@ -138,16 +162,15 @@ def score_alignments(met: DataFrame, start: Column, keep: tuple[str, ...]) -> Da
 
 @dataclass(frozen=True)
 class Search:
-    """Distinct queries made ready: their stored seeds and how to broadcast these."""
+    """Distinct queries made ready: their stored seeds and how many to broadcast at once."""
 
     seeds: DataFrame
-    slices: seeding.Slices
+    slice_rows: int
 
 
 def prepare(admitted: DataFrame, slice_rows: int = seeding.SLICE_ROWS) -> Search:
     """Work out the seeds of every distinct `query` once, for as many passes as follow."""
-    seeds = materialize(one_edit_seeds(admitted.select("query").distinct()))
-    return Search(seeds, seeding.slices_of(seeds, "query", slice_rows))
+    return Search(materialize(one_edit_seeds(admitted.select("query").distinct())), slice_rows)
 
 
 def one_edit_hits(
@@ -163,16 +186,19 @@ def one_edit_hits(
     `query`, the `keep` columns of the line and `score`; a line may come several times, with
     the same or different scores.
     """
-    slices, text = search.slices, "normalized_sentence"
-    if not slices.widths:
-        return lines.limit(0).select(F.lit("").alias("query"), *keep, F.lit(0).alias("score"))
     if floors is None:
         seeds = search.seeds.withColumn("floor", F.lit(0))
     else:
         seeds = search.seeds.join(floors, "query", "left").withColumn(
             "floor", F.coalesce("floor", F.lit(0))
         )
-    useful = seeds.where(F.col("reach") > F.col("floor"))
+    useful = seeds.where(
+        (F.col("floor") < F.col("reach")) & (F.col("floor") >= F.col("from_floor"))
+    )
+    slices = seeding.slices_of(useful, "query", search.slice_rows)
+    if not slices.widths:
+        return lines.limit(0).select(F.lit("").alias("query"), *keep, F.lit(0).alias("score"))
+    text = "normalized_sentence"
     pieces = seeding.pieces_of(
         lines.select(*dict.fromkeys((*keep, text))), text, slices.widths
     ).drop(*{text} - set(keep))
@@ -189,7 +215,9 @@ def one_edit_hits(
 
 
 def head_size(line_count: int) -> int:
-    return min(max(line_count // HEAD_SHARE, HEAD_LEAST), HEAD_MOST)
+    """Lines to search first; none when the whole is too small to gain from it."""
+    share = min(line_count // HEAD_SHARE, HEAD_MOST)
+    return share if share >= HEAD_LEAST else 0
 
 
 def best_lines(lines: DataFrame, search: Search, k: int, *, head_lines: int) -> DataFrame:
@@ -200,6 +228,8 @@ def best_lines(lines: DataFrame, search: Search, k: int, *, head_lines: int) ->
     nothing from the rest but a higher score, and nothing at all once these are unchanged
     matches. That keeps queries which fit nearly every line out of the long pass.
     """
+    if head_lines <= 0:
+        return top_k(one_edit_hits(lines, search), k, tiers=scoring.MAX_TIERS)
     cores = lines.sparkSession.sparkContext.defaultParallelism
     # The head is bounded by HEAD_MOST; stored in line order it would be a task or two.
     head = (
@@ -216,6 +246,31 @@ def best_lines(lines: DataFrame, search: Search, k: int, *, head_lines: int) ->
     return top_k(from_head.unionByName(from_rest).drop("rank"), k, tiers=1)
 
 
+def show_results(
+    admitted: DataFrame, best: DataFrame, lines: DataFrame, block_lines: int | None = None
+) -> DataFrame:
+    """The best lines of each query as result rows.
+
+    The result numbers are stored first, so that their count can decide whether they are
+    sent to the lines; planned unseen, this join would shuffle all lines instead.
+    """
+    stored = materialize(best.select("query", "line_id", "score", "rank"))
+    found = fetch_lines(lines, broadcast_if_small(stored), block_lines)
+    return admitted.join(
+        found.select(
+            "query",
+            "rank",
+            F.col("original_sentence").alias("completed_sentence"),
+            "source_text",
+            "offset",
+            "score",
+        ),
+        "query",
+    ).select(
+        *admitted.columns, "rank", "completed_sentence", "source_text", "offset", "score"
+    )
+
+
 def complete(
     lines: DataFrame,
     queries: DataFrame,
@@ -223,15 +278,13 @@ def complete(
     *,
     text: str = "query_text",
     head_lines: int | None = None,
-    block_lines: int | None = None,
     slice_rows: int = seeding.SLICE_ROWS,
 ) -> DataFrame:
-    """Best `k` of the numbered `lines` for every row of `queries`.
+    """Best `k` of the numbered `lines` for every row of `queries`, by scanning the lines.
 
     Adds `query` (the normalized text), `rank`, `completed_sentence`, `source_text`,
     `offset` and `score` to the columns of `queries`. Rows without a result do not appear.
-    The search moves line numbers only; the lines themselves are fetched for the results,
-    from the blocks these lie in when the lines are stored in blocks of `block_lines`.
+    The search moves line numbers only; the lines themselves are fetched for the results.
     """
     admitted = admit(queries, text)
     if k <= 0:
@@ -240,21 +293,95 @@ def complete(
         last = lines.agg(F.max("line_id")).first()[0]
         head_lines = head_size(0 if last is None else last + 1)
     best = best_lines(lines, prepare(admitted, slice_rows), k, head_lines=head_lines)
-    place = ["line_id"]
-    if block_lines:
-        best = best.withColumn("line_block", (F.col("line_id") / block_lines).cast("long"))
-        lines = lines.withColumn("line_block", F.col("line_block").cast("long"))
-        place.append("line_block")
-    shown = lines.select(
-        *place, F.col("original_sentence").alias("completed_sentence"), "source_text", "offset"
+    return show_results(admitted, best, lines)
+
+
+def word_halves(queries: DataFrame) -> DataFrame:
+    """(query, pattern): each distinct `query` cut in two at the space nearest its middle.
+
+    One edit leaves one of the two pieces whole, wherever the cut is. At a space the second
+    piece starts with a word boundary, which makes its first word cheap to look up. A query
+    of one word is cut in the middle.
+    """
+    middle = F.expr("int((length(query) + 1) div 2)")
+    spaces = F.expr(
+        "filter(sequence(2, length(query)), place -> substring(query, place, 1) = ' ')"
+    )
+    nearest = F.array_min(
+        F.transform(spaces, lambda at: F.struct(F.abs(at - 1 - middle).alias("d"), at.alias("at")))
     )
+    cut = F.coalesce(nearest["at"] - 1, middle)
     return (
-        admitted.join(best, "query")
-        .join(shown, place)
+        queries.where(F.length("query") > 1)
+        .select("query", cut.alias("_cut"))
         .select(
-            *admitted.columns, "rank", "completed_sentence", "source_text", "offset", "score"
+            "query",
+            F.explode(F.expr("array(left(query, _cut), substring(query, _cut + 1))")).alias(
+                "pattern"
+            ),
+        )
+        .unionByName(
+            queries.where(F.length("query") == 1).select("query", F.col("query").alias("pattern"))
+        )
+    )
+
+
+def complete_indexed(
+    lines: DataFrame,
+    postings: DataFrame,
+    vocabulary: DataFrame,
+    queries: DataFrame,
+    k: int = DEFAULT_K,
+    *,
+    text: str = "query_text",
+    head_lines: int | None = None,
+    index_rows: int = INDEX_ROWS,
+    word_buckets: int | None = None,
+    block_lines: int | None = None,
+    slice_rows: int = seeding.SLICE_ROWS,
+) -> DataFrame:
+    """`complete` with the word index: rare queries read their candidate lines only.
+
+    A query is rare when the postings of the cheapest tokens of its two pieces lead to few
+    lines, so few that those of all queries together stay within `index_rows`. All other
+    queries share the scan.
+    """
+    admitted = admit(queries, text)
+    if k <= 0:
+        admitted, k = admitted.limit(0), 1
+    distinct = materialize(admitted.select("query").distinct())
+    pieces = materialize(word_halves(distinct))
+    chosen = choose_tokens(pieces, vocabulary)
+    # A piece that no token choice was made for occurs in no line and costs nothing.
+    costs = (
+        pieces.join(chosen.choice, "pattern", "left")
+        .groupBy("query")
+        .agg(F.sum(F.coalesce("cost", F.lit(0))).alias("cost"))
+    )
+    limit = index_rows // max(1, distinct.count())
+    rare = materialize(costs.where(F.col("cost") <= limit).select("query"))
+    candidates = candidate_lines(
+        chosen.choice.join(
+            pieces.join(rare, "query").select("pattern").distinct(), "pattern", "left_semi"
+        ),
+        chosen.words,
+        postings,
+        word_buckets,
+    )
+    some_lines = materialize(
+        fetch_lines(
+            lines.drop("original_sentence", "source_text", "offset"),
+            F.broadcast(candidates.select("line_id").distinct()),
+            block_lines,
         )
     )
+    by_index = best_lines(spread(some_lines), prepare(rare, slice_rows), k, head_lines=0)
+    others = distinct.join(rare, "query", "left_anti")
+    if head_lines is None:
+        last = lines.agg(F.max("line_id")).first()[0]
+        head_lines = head_size(0 if last is None else last + 1)
+    by_scan = best_lines(lines, prepare(others, slice_rows), k, head_lines=head_lines)
+    return show_results(admitted, by_index.unionByName(by_scan), lines, block_lines)
 
 
 def best_scores(

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineseek.functions.text import token_structs
 from lineseek.operators.containment import find_containing
-from lineseek.runtime import broadcast_if_small, materialize
+from lineseek.runtime import BROADCAST_ROWS, broadcast_if_small, materialize
 
 # Words are looked up by their first or last characters, up to this many.
 EDGE_WIDTH = 3
-# A pattern whose cheapest token leads to more than this share of all lines is scanned for.
-SCAN_SHARE = 0.02
+# Candidate lines taken from postings in one search, over all its patterns together.
+INDEX_ROWS = BROADCAST_ROWS
 
 
 def build_postings(lines: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def _by_edge(vocabulary: DataFrame, tokens: DataFrame, kind: str) -> DataFrame:
 
 def token_words(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
     """All words a token can stand in: (token, token_class, word, df), each once."""
-    distinct = tokens.select("token", "token_class").distinct()
+    distinct = materialize(tokens.select("token", "token_class").distinct())
     whole = (
         vocabulary.join(
             broadcast_if_small(distinct.where(F.col("token_class") == "whole")),
@@ -107,10 +109,59 @@ def cheapest_tokens(tokens: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def candidate_lines(choice: DataFrame, words: DataFrame, postings: DataFrame) -> DataFrame:
-    """(pattern, line_id) of the lines the chosen tokens lead to, each once."""
+def word_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")
+
+
+def candidate_lines(
+    choice: DataFrame, words: DataFrame, postings: DataFrame, word_buckets: int | None = None
+) -> DataFrame:
+    """(pattern, line_id) of the lines the chosen tokens lead to, each once.
+
+    Postings stored in buckets are joined on the bucket too, so that only the buckets of
+    the words asked for are read.
+    """
     wanted = choice.join(words, ["token", "token_class"]).select("pattern", "word")
-    return postings.join(broadcast_if_small(wanted), "word").select("pattern", "line_id").distinct()
+    keys = ["word"]
+    if word_buckets:
+        wanted = wanted.withColumn("word_bucket", word_bucket(word_buckets))
+        keys.append("word_bucket")
+    return postings.join(broadcast_if_small(wanted), keys).select("pattern", "line_id").distinct()
+
+
+def line_block(block_lines: int) -> Column:
+    return F.floor(F.col("line_id") / block_lines).cast("int")
+
+
+def fetch_lines(
+    lines: DataFrame, wanted: DataFrame, block_lines: int | None = None
+) -> DataFrame:
+    """Join rows that name a `line_id` to their lines, from the blocks these lie in."""
+    if not block_lines:
+        return wanted.join(lines, "line_id")
+    placed = wanted.withColumn("line_block", line_block(block_lines))
+    return placed.join(lines, ["line_id", "line_block"]).drop("line_block")
+
+
+@dataclass(frozen=True)
+class TokenChoice:
+    """Distinct patterns with the cheapest token of each, and the words all tokens stand in."""
+
+    patterns: DataFrame
+    words: DataFrame
+    choice: DataFrame
+
+
+def choose_tokens(patterns: DataFrame, vocabulary: DataFrame) -> TokenChoice:
+    distinct = materialize(patterns.select("pattern").where(F.col("pattern") != "").distinct())
+    tokens = pattern_tokens(distinct)
+    words = materialize(token_words(vocabulary, tokens))
+    return TokenChoice(distinct, words, materialize(cheapest_tokens(tokens, words)))
+
+
+def tokenless(patterns: DataFrame) -> DataFrame:
+    """Patterns of spaces only, which no word leads to."""
+    return patterns.where(F.replace(F.col("pattern"), F.lit(" "), F.lit("")) == "")
 
 
 def search_patterns(
@@ -119,29 +170,31 @@ def search_patterns(
     vocabulary: DataFrame,
     patterns: DataFrame,
     *,
-    scan_share: float = SCAN_SHARE,
+    index_rows: int = INDEX_ROWS,
+    word_buckets: int | None = None,
+    block_lines: int | None = None,
 ) -> DataFrame:
     """(pattern, line_id) for exactly the lines that contain each distinct `pattern`.
 
-    A pattern goes over the postings of its cheapest token when these lead to few lines,
-    and joins one scan of all lines otherwise, as do patterns of spaces only. The choice
-    changes the work and not the result: the text decides in both.
+    A pattern goes over the postings of its cheapest token when these lead to few lines, so
+    few that those of all patterns together stay within `index_rows` and can be broadcast to
+    the lines. All other patterns share one scan of the lines. The choice changes the work
+    and not the result: the text decides in both.
     """
-    distinct = patterns.select("pattern").where(F.col("pattern") != "").distinct()
-    tokens = pattern_tokens(distinct)
-    words = materialize(token_words(vocabulary, tokens))
-    choice = materialize(cheapest_tokens(tokens, words))
-    last = lines.agg(F.max("line_id")).first()[0]
-    limit = scan_share * (0 if last is None else last + 1)
-
-    narrow = lines.select("line_id", "normalized_sentence")
-    candidates = candidate_lines(choice.where(F.col("cost") <= limit), words, postings)
+    chosen = choose_tokens(patterns, vocabulary)
+    limit = index_rows // max(1, chosen.patterns.count())
+    candidates = candidate_lines(
+        chosen.choice.where(F.col("cost") <= limit), chosen.words, postings, word_buckets
+    )
     by_index = (
-        candidates.join(narrow, "line_id")
+        fetch_lines(lines, F.broadcast(candidates), block_lines)
         .where(F.contains("normalized_sentence", "pattern"))
         .select("pattern", "line_id")
     )
-    tokenless = distinct.where(F.replace(F.col("pattern"), F.lit(" "), F.lit("")) == "")
-    scanned = choice.where(F.col("cost") > limit).select("pattern").unionByName(tokenless)
-    by_scan = find_containing(narrow, scanned).select("pattern", "line_id")
-    return by_index.unionByName(by_scan)
+    scanned = (
+        chosen.choice.where(F.col("cost") > limit)
+        .select("pattern")
+        .unionByName(tokenless(chosen.patterns))
+    )
+    by_scan = find_containing(lines.select("line_id", "normalized_sentence"), scanned)
+    return by_index.unionByName(by_scan.select("pattern", "line_id"))

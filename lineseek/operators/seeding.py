@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED_WIDTHS = (1, 2, 3, 4, 6, 8)
+POSITION_RUN = 4096
 # Limits of one broadcast slice: rows, and characters of text they carry.
 SLICE_ROWS = 200_000
 SLICE_CHARS = 64_000_000
@@ -83,8 +84,14 @@ def pieces_of(lines: DataFrame, text: str, widths: tuple[int, ...]) -> DataFrame
         "_length", F.length(text)
     )
     narrowest = min(widths)
-    placed = sized.where(F.col("_length") >= narrowest).withColumn(
-        "_pos", F.explode(F.sequence(F.lit(1), F.col("_length") - (narrowest - 1)))
+    last = F.col("_length") - (narrowest - 1)
+    # Positions come in runs, so that no list of them grows with the line.
+    run_end = F.least(F.col("_run") + (POSITION_RUN - 1), last)
+    placed = (
+        sized.where(last >= 1)
+        .withColumn("_run", F.explode(F.sequence(F.lit(1), last, F.lit(POSITION_RUN))))
+        .withColumn("_pos", F.explode(F.sequence(F.col("_run"), run_end)))
+        .drop("_run")
     )
     if len(widths) == 1:
         width = F.lit(narrowest)

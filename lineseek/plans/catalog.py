@@ -12,7 +12,7 @@ from lineseek.functions.text import edit_pairs, interior_tokens, normalize
 from lineseek.operators import completion, containment, ladder, postings, sessions, typos
 from lineseek.operators.ranking import top_k
 from lineseek.plans import views
-from lineseek.runtime import ensure_checkpoint_dir, materialize
+from lineseek.runtime import broadcast_if_small, ensure_checkpoint_dir, materialize
 from lineseek.sources import corpus
 from lineseek.sources.index_store import Index
 from lineseek.streaming import jobs
@@ -74,8 +74,9 @@ def text_tree_splits(spark, sf_dir):
 def index_round_trip(spark, sf_dir):
     """Best completions from an index written to files and read back."""
     path = _scratch(spark, "index")
-    Index.build(views.lines(spark, sf_dir)).save(path, block_lines=10_000)
-    found = Index.load(spark, path, block_lines=10_000).complete(views.queries(spark, sf_dir), K)
+    sizes = {"block_lines": 2_000, "word_buckets": 8}
+    Index.build(views.lines(spark, sf_dir)).save(path, **sizes)
+    found = Index.load(spark, path, **sizes).complete(views.queries(spark, sf_dir), K)
     return found.select(*RESULT)
 
 
@@ -196,7 +197,7 @@ def line_lookup(spark, sf_dir):
     """The last line of every source, fetched by its id."""
     lines = views.numbered_lines(spark, sf_dir)
     wanted = lines.groupBy("source_text").agg(F.max("line_id").alias("line_id")).select("line_id")
-    return lines.join(wanted, "line_id").select(
+    return lines.join(broadcast_if_small(wanted), "line_id").select(
         "line_id", "original_sentence", "normalized_sentence", "source_text", "offset"
     )
 
@@ -213,14 +214,15 @@ def _lookup(kind):
     def run(spark, sf_dir):
         """Words that the tokens of one boundary class stand in, with their line counts."""
         tokens = token_classes(spark, sf_dir).where(F.col("token_class") == kind)
-        return postings.token_words(vocabulary(spark, sf_dir), tokens).select("token", "word", "df")
+        words = views.index(spark, sf_dir).vocabulary
+        return postings.token_words(words, tokens).select("token", "word", "df")
 
     return run
 
 
 def token_choice(spark, sf_dir):
     tokens = token_classes(spark, sf_dir)
-    words = postings.token_words(vocabulary(spark, sf_dir), tokens)
+    words = materialize(postings.token_words(views.index(spark, sf_dir).vocabulary, tokens))
     return postings.cheapest_tokens(tokens, words).select("pattern", "token", "cost")
 
 
@@ -239,12 +241,8 @@ def _halves(spark, sf_dir):
 
 def pattern_search(spark, sf_dir):
     """Lines that contain a whole typed query, through the word index."""
-    lines = views.numbered_lines(spark, sf_dir)
-    entries = postings.build_postings(lines)
     patterns = _distinct(spark, sf_dir).withColumnRenamed("query", "pattern")
-    return postings.search_patterns(
-        lines, entries, postings.build_vocabulary(entries), patterns
-    )
+    return views.index(spark, sf_dir).search(patterns)
 
 
 def contains_filter(spark, sf_dir):
@@ -262,8 +260,7 @@ def half_candidates(spark, sf_dir):
         halves.select("pattern"),
     )
     return (
-        halves.distinct()
-        .join(found, "pattern")
+        found.join(broadcast_if_small(halves.distinct()), "pattern")
         .select("query", "pattern", "source_text", "offset")
     )
 
@@ -279,6 +276,11 @@ def fuzzy_topk(spark, sf_dir):
     ).select(*RESULT)
 
 
+def fuzzy_topk_indexed(spark, sf_dir):
+    """The same answers, with the lines of rare queries found through the word index."""
+    return views.index(spark, sf_dir).complete(views.queries(spark, sf_dir), K).select(*RESULT)
+
+
 def fuzzy_topk_by_variants(spark, sf_dir):
     """The same answers by definition: every edited text is searched for as it is spelled."""
     lines = views.numbered_lines(spark, sf_dir)
@@ -290,11 +292,7 @@ def fuzzy_topk_by_variants(spark, sf_dir):
         lines.select("line_id", "normalized_sentence"), variants.select("pattern")
     ).select("line_id", "pattern")
     best = top_k(variants.join(found, "pattern"), K, tiers=scoring.MAX_TIERS)
-    return (
-        admitted.join(best, "query")
-        .join(lines.withColumnRenamed("original_sentence", "completed_sentence"), "line_id")
-        .select(*RESULT)
-    )
+    return completion.show_results(admitted, best, lines).select(*RESULT)
 
 
 def best_scores(spark, sf_dir):
@@ -480,6 +478,7 @@ QUERIES = {
     "contains_filter": contains_filter,
     "half_candidates": half_candidates,
     "fuzzy_topk": fuzzy_topk,
+    "fuzzy_topk_indexed": fuzzy_topk_indexed,
     "fuzzy_topk_by_variants": fuzzy_topk_by_variants,
     "best_scores": best_scores,
     "rendered_results": rendered_results,

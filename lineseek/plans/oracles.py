@@ -370,6 +370,7 @@ def statements() -> dict[str, str]:
         join lines on contains(normalized_sentence, pattern)
         where pattern <> ''""",
         "fuzzy_topk": topk,
+        "fuzzy_topk_indexed": topk,
         "fuzzy_topk_by_variants": topk,
         "best_scores": _with("best") + 'select query, source_text, "offset", score from best',
         "rendered_results": results + """

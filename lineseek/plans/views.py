@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineseek.functions.text import normalize
+from lineseek.operators.postings import build_postings, build_vocabulary
 from lineseek.operators.ranking import number_lines
 from lineseek.runtime import materialize, spread
 from lineseek.sources.corpus import lines_of
+from lineseek.sources.index_store import Index
 
 # Characters typed at a time.
 STRETCH = 24
 
 _numbered: dict[tuple[str, str], DataFrame] = {}
+_indexes: dict[tuple[str, str], Index] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +42,16 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered[key]
 
 
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The word index over the numbered lines, prepared once in the same way."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        numbered = numbered_lines(spark, sf_dir)
+        entries = materialize(build_postings(numbered))
+        _indexes[key] = Index(numbered, entries, materialize(build_vocabulary(entries)))
+    return _indexes[key]
+
+
 def stretches(text, pattern_flags: str = ""):
     return F.regexp_extract_all(text, F.lit(pattern_flags + ".{1,%d}" % STRETCH), F.lit(0))
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lineseek.operators import completion, postings
 from lineseek.operators.ranking import number_lines
 
-# Lines of one stored block; a result line is fetched from its block only.
-BLOCK_LINES = 4_000_000
+# Lines of one stored block; a line is fetched from its block only.
+BLOCK_LINES = 16_000_000
+# Stored parts of the postings; a word is fetched from its part only.
+WORD_BUCKETS = 256
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,7 @@ class Index:
     postings: DataFrame
     vocabulary: DataFrame
     block_lines: int | None = None
+    word_buckets: int | None = None
 
     @classmethod
     def build(cls, lines: DataFrame) -> Index:
@@ -29,38 +31,51 @@ class Index:
         entries = postings.build_postings(numbered)
         return cls(numbered, entries, postings.build_vocabulary(entries))
 
-    def save(self, path: str, block_lines: int = BLOCK_LINES) -> None:
-        """Write the tables as Parquet.
+    def save(
+        self, path: str, block_lines: int = BLOCK_LINES, word_buckets: int = WORD_BUCKETS
+    ) -> Index:
+        """Write the tables as Parquet and return the stored index.
 
-        Lines lie in blocks of consecutive ids. Postings are ranged by (word, line_id), so
-        a frequent word spreads over files and a rare one is found by file statistics.
+        Lines lie in blocks of consecutive ids, postings in buckets of words. Postings are
+        ranged by (bucket, word, line_id), so a frequent word spreads over files.
         """
-        blocks = self.lines.withColumn(
-            "line_block", (F.col("line_id") / block_lines).cast("long")
+        spark = self.lines.sparkSession
+        self.lines.withColumn("line_block", postings.line_block(block_lines)).write.partitionBy(
+            "line_block"
+        ).parquet(f"{path}/lines")
+        order = ("word_bucket", "word", "line_id")
+        entries = postings.build_postings(spark.read.parquet(f"{path}/lines")).withColumn(
+            "word_bucket", postings.word_bucket(word_buckets)
         )
-        blocks.write.partitionBy("line_block").parquet(f"{path}/lines")
-        entries = postings.build_postings(self.lines.sparkSession.read.parquet(f"{path}/lines"))
-        entries.repartitionByRange("word", "line_id").sortWithinPartitions(
-            "word", "line_id"
-        ).write.parquet(f"{path}/postings")
-        words = postings.build_vocabulary(
-            self.lines.sparkSession.read.parquet(f"{path}/postings")
-        )
-        words.repartitionByRange("word").sortWithinPartitions("word").write.parquet(
+        entries.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(
+            "word_bucket"
+        ).parquet(f"{path}/postings")
+        postings.build_vocabulary(spark.read.parquet(f"{path}/postings")).write.parquet(
             f"{path}/vocabulary"
         )
+        return Index.load(spark, path, block_lines, word_buckets)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, block_lines: int = BLOCK_LINES) -> Index:
+    def load(
+        cls,
+        spark: SparkSession,
+        path: str,
+        block_lines: int = BLOCK_LINES,
+        word_buckets: int = WORD_BUCKETS,
+    ) -> Index:
+        """Read an index written with the same block and bucket sizes."""
         tables = (spark.read.parquet(f"{path}/{t}") for t in ("lines", "postings", "vocabulary"))
-        return cls(*tables, block_lines)
+        return cls(*tables, block_lines, word_buckets)
+
+    def _storage(self) -> dict:
+        return {"block_lines": self.block_lines, "word_buckets": self.word_buckets}
 
     def complete(self, queries: DataFrame, k: int = completion.DEFAULT_K, **options) -> DataFrame:
-        return completion.complete(
-            self.lines, queries, k, block_lines=self.block_lines, **options
+        return completion.complete_indexed(
+            self.lines, self.postings, self.vocabulary, queries, k, **self._storage(), **options
         )
 
     def search(self, patterns: DataFrame, **options) -> DataFrame:
         return postings.search_patterns(
-            self.lines, self.postings, self.vocabulary, patterns, **options
+            self.lines, self.postings, self.vocabulary, patterns, **self._storage(), **options
         )
