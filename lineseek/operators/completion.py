@@ -214,9 +214,15 @@ def one_edit_hits(
     return seeding.per_slice(useful, "query", slices, search_slice)
 
 
-def head_size(line_count: int) -> int:
+def line_count(lines: DataFrame) -> int:
+    """Number of numbered lines; reads one column of stored lines."""
+    last = lines.agg(F.max("line_id")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def head_size(count: int) -> int:
     """Lines to search first; none when the whole is too small to gain from it."""
-    share = min(line_count // HEAD_SHARE, HEAD_MOST)
+    share = min(count // HEAD_SHARE, HEAD_MOST)
     return share if share >= HEAD_LEAST else 0
 
 
@@ -286,12 +292,11 @@ def complete(
     `offset` and `score` to the columns of `queries`. Rows without a result do not appear.
     The search moves line numbers only; the lines themselves are fetched for the results.
     """
-    admitted = admit(queries, text)
     if k <= 0:
-        admitted, k = admitted.limit(0), 1
+        queries, k = queries.limit(0), 1
+    admitted = materialize(admit(queries, text))
     if head_lines is None:
-        last = lines.agg(F.max("line_id")).first()[0]
-        head_lines = head_size(0 if last is None else last + 1)
+        head_lines = head_size(line_count(lines))
     best = best_lines(lines, prepare(admitted, slice_rows), k, head_lines=head_lines)
     return show_results(admitted, best, lines)
 
@@ -346,10 +351,10 @@ def complete_indexed(
     lines, so few that those of all queries together stay within `index_rows`. All other
     queries share the scan.
     """
-    admitted = admit(queries, text)
     if k <= 0:
-        admitted, k = admitted.limit(0), 1
-    distinct = materialize(admitted.select("query").distinct())
+        queries, k = queries.limit(0), 1
+    admitted = materialize(admit(queries, text))
+    distinct = admitted.select("query").distinct()
     pieces = materialize(word_halves(distinct))
     chosen = choose_tokens(pieces, vocabulary)
     # A piece that no token choice was made for occurs in no line and costs nothing.
@@ -378,8 +383,7 @@ def complete_indexed(
     by_index = best_lines(spread(some_lines), prepare(rare, slice_rows), k, head_lines=0)
     others = distinct.join(rare, "query", "left_anti")
     if head_lines is None:
-        last = lines.agg(F.max("line_id")).first()[0]
-        head_lines = head_size(0 if last is None else last + 1)
+        head_lines = head_size(line_count(lines))
     by_scan = best_lines(lines, prepare(others, slice_rows), k, head_lines=head_lines)
     return show_results(admitted, by_index.unionByName(by_scan), lines, block_lines)
 
