@@ -130,16 +130,22 @@ def candidate_lines(
 
 
 def line_block(block_lines: int) -> Column:
-    return F.floor(F.col("line_id") / block_lines).cast("int")
+    return F.expr(f"int(line_id div {block_lines})")
 
 
 def fetch_lines(
     lines: DataFrame, wanted: DataFrame, block_lines: int | None = None
 ) -> DataFrame:
-    """Join rows that name a `line_id` to their lines, from the blocks these lie in."""
+    """Join rows that name a `line_id` to their lines, from the blocks these lie in.
+
+    The comparison, true of every row, is there because Spark prunes the blocks to be read
+    only when the side they are taken from is filtered.
+    """
     if not block_lines:
         return wanted.join(lines, "line_id")
-    placed = wanted.withColumn("line_block", line_block(block_lines))
+    placed = wanted.where(F.col("line_id") >= 0).withColumn(
+        "line_block", line_block(block_lines)
+    )
     return placed.join(lines, ["line_id", "line_block"]).drop("line_block")
 
 
