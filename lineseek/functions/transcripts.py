@@ -49,8 +49,3 @@ def best_transcript(response: Column) -> Column:
         .when(F.startswith(text, F.lit('"')), of_string),
         F.lit(""),
     )
-
-
-def language_priority(language: Column) -> Column:
-    """Order in which the answers of one recording are looked at."""
-    return F.when(language == FALLBACK_LANGUAGE, F.lit(1)).otherwise(F.lit(0))

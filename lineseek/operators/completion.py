@@ -72,47 +72,16 @@ def one_edit_seeds(queries: DataFrame) -> DataFrame:
         .where(F.col("reach") > 0)
         .withColumn("half", F.expr("substring(query, half_start, half_length)"))
     )
-    width = seeding.seed_width(F.col("half_length"))
-    # Each half is looked up by that of its windows which fewest other halves share, so
-    # that a phrase common to many queries does not put them all behind one key.
-    windows = halves.withColumn("seed_width", width).withColumn(
-        "_offset", F.explode(F.expr("sequence(0, half_length - seed_width)"))
-    ).withColumn(
-        "seed_key",
-        seeding.seed_key(
-            F.col("seed_width"),
-            F.substring(
-                F.col("half").cast("binary"), F.col("_offset") + 1, F.col("seed_width")
-            ),
-        ),
-    )
-    shared = windows.groupBy("seed_key").agg(F.count(F.lit(1)).alias("_shared"))
-    picked = (
-        windows.join(shared, "seed_key")
-        .groupBy(
-            "query",
-            "is_right",
-            "half",
-            "half_start",
-            "half_length",
-            "reach",
-            "from_floor",
-            "seed_width",
-        )
-        .agg(
-            F.min(F.struct("_shared", "_offset", "seed_key")).alias("_pick"),
-        )
-    )
-    return picked.select(
+    return seeding.choose_seeds(halves, "half").select(
         "query",
         "reach",
         "from_floor",
         "half",
         "half_length",
         "seed_width",
-        F.col("_pick.seed_key").alias("seed_key"),
+        "seed_key",
         # Places in the query, as distances from its start.
-        (F.col("half_start") - 1 + F.col("_pick._offset")).alias("seed_offset"),
+        (F.col("half_start") - 1 + F.col("seed_offset")).alias("seed_offset"),
         (F.col("half_start") - 1).alias("half_offset"),
         # An edit left of an intact right half moves the start of the query in the line.
         F.col("is_right").cast("int").alias("extra_shift"),

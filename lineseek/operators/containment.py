@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineseek.operators import seeding
+from lineseek.runtime import materialize
 
 
 def find_containing(
@@ -21,19 +22,8 @@ def find_containing(
     nothing. No shuffle of the lines: a pair is reported at the pattern's first place in
     the line only, so there is nothing to de-duplicate afterwards.
     """
-    seeds = (
-        patterns.select("pattern")
-        .where(F.col("pattern") != "")
-        .distinct()
-        .withColumn("seed_width", seeding.seed_width(F.length("pattern")))
-        .withColumn(
-            "seed_key",
-            seeding.seed_key(
-                F.col("seed_width"),
-                F.substring(F.col("pattern").cast("binary"), F.lit(1), F.col("seed_width")),
-            ),
-        )
-    )
+    distinct = patterns.select("pattern").where(F.col("pattern") != "").distinct()
+    seeds = materialize(seeding.choose_seeds(distinct, "pattern"))
     slices = seeding.slices_of(seeds, "pattern", slice_rows)
     columns = lines.columns
     if not slices.widths:
@@ -42,9 +32,10 @@ def find_containing(
     pieces = seeding.pieces_of(lines, text, slices.widths)
 
     def search(part: DataFrame) -> DataFrame:
+        start = F.col("_pos") - F.col("seed_offset")
         met = pieces.join(F.broadcast(part), F.col("_key") == F.col("seed_key"))
-        here = seeding.cut(F.col("_pos"), F.length("pattern")) == F.col("pattern")
-        first = F.position(F.col("pattern"), F.col(text))
-        return met.where(here & (first == F.col("_pos"))).select(*columns, "pattern")
+        here = seeding.cut(start, F.length("pattern")) == F.col("pattern")
+        first = F.position(F.col("pattern"), F.col(text)) == start
+        return met.where(here & first).select(*columns, "pattern")
 
     return seeding.per_slice(seeds, "pattern", slices, search)

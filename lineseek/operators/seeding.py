@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 SEED_WIDTHS = (1, 2, 3, 4, 6, 8)
 POSITION_RUN = 4096
+# About as many windows of a text are compared when its seed is chosen.
+WINDOWS = 8
 # Limits of one broadcast slice: rows, and characters of text they carry.
 SLICE_ROWS = 200_000
 SLICE_CHARS = 64_000_000
@@ -40,6 +42,41 @@ def seed_key(width: Column, piece: Column) -> Column:
     return F.xxhash64(width, piece)
 
 
+def choose_seeds(pieces: DataFrame, text: str) -> DataFrame:
+    """Add `seed_width`, `seed_key` and `seed_offset` (from 0) to each distinct row.
+
+    The seed is the window of `text` which fewest of the other rows share, so that a phrase
+    common to many texts does not put them all behind one key. Of a long text only some
+    windows, evenly spaced, are considered; any window gives the same results.
+    """
+    columns = pieces.columns
+    last = F.length(text) - F.col("seed_width")
+    step = F.greatest(F.lit(1), F.expr(f"int((length({text}) - seed_width) div {WINDOWS})"))
+    windows = (
+        pieces.withColumn("seed_width", seed_width(F.length(text)))
+        .withColumn("_offset", F.explode(F.sequence(F.lit(0), last, step)))
+        .withColumn(
+            "seed_key",
+            seed_key(
+                F.col("seed_width"),
+                F.substring(F.col(text).cast("binary"), F.col("_offset") + 1, F.col("seed_width")),
+            ),
+        )
+    )
+    shared = windows.groupBy("seed_key").agg(F.count(F.lit(1)).alias("_shared"))
+    return (
+        windows.join(shared, "seed_key")
+        .groupBy(*columns, "seed_width")
+        .agg(F.min(F.struct("_shared", "_offset", "seed_key")).alias("_pick"))
+        .select(
+            *columns,
+            "seed_width",
+            F.col("_pick.seed_key").alias("seed_key"),
+            F.col("_pick._offset").alias("seed_offset"),
+        )
+    )
+
+
 @dataclass(frozen=True)
 class Slices:
     """How a table of texts is cut for broadcasting, and the seed widths it needs."""

@@ -11,7 +11,6 @@ from lineseek.functions.transcripts import (
     FALLBACK_LANGUAGE,
     NOT_RECOGNIZED_MESSAGE,
     best_transcript,
-    language_priority,
 )
 
 # Consecutive rows of one session handled in one group; the groups are then linked.
@@ -135,7 +134,7 @@ def transcribe(responses: DataFrame) -> DataFrame:
     ).withColumn("_transcript", best_transcript(F.col("response")))
     usable = F.col("_tried") & (F.col("_transcript") != "")
     priority = F.when(F.col("language") == F.col("requested_language"), F.lit(0)).otherwise(
-        language_priority(F.col("language"))
+        F.lit(1)
     )
     return (
         tried.groupBy("recording_id")
