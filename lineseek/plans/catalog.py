@@ -76,7 +76,7 @@ def index_round_trip(spark, sf_dir):
     path = _scratch(spark, "index")
     sizes = {"block_lines": 2_000, "word_buckets": 8}
     Index.build(views.lines(spark, sf_dir)).save(path, **sizes)
-    found = Index.load(spark, path, **sizes).complete(views.queries(spark, sf_dir), K)
+    found = Index.load(spark, path).complete(views.queries(spark, sf_dir), K)
     return found.select(*RESULT)
 
 

@@ -53,19 +53,19 @@ class Index:
         postings.build_vocabulary(spark.read.parquet(f"{path}/postings")).write.parquet(
             f"{path}/vocabulary"
         )
-        return Index.load(spark, path, block_lines, word_buckets)
+        # Written last: an index without its sizes is incomplete.
+        sizes = spark.createDataFrame(
+            [(block_lines, word_buckets)], "block_lines long, word_buckets long"
+        )
+        sizes.coalesce(1).write.parquet(f"{path}/sizes")
+        return Index.load(spark, path)
 
     @classmethod
-    def load(
-        cls,
-        spark: SparkSession,
-        path: str,
-        block_lines: int = BLOCK_LINES,
-        word_buckets: int = WORD_BUCKETS,
-    ) -> Index:
-        """Read an index written with the same block and bucket sizes."""
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        """Read a saved index; its block and bucket sizes are stored with it."""
         tables = (spark.read.parquet(f"{path}/{t}") for t in ("lines", "postings", "vocabulary"))
-        return cls(*tables, block_lines, word_buckets)
+        sizes = spark.read.parquet(f"{path}/sizes").first()
+        return cls(*tables, sizes["block_lines"], sizes["word_buckets"])
 
     def _storage(self) -> dict:
         return {"block_lines": self.block_lines, "word_buckets": self.word_buckets}
