@@ -3,8 +3,11 @@
 Every window of `length` symbols names the smallest hash among its grams, its anchor.
 Equal windows name equal anchors at equal places, so only windows with a common anchor can
 be equal. Neighbouring windows with one anchor form a segment: a document has few of them.
-Equal segments settle all their windows at once; windows are spelled out only where one
-anchor has segments that differ. No pair of occurrences is ever made.
+
+A range of windows has a hull, all symbols of its windows, and a core, those that each of
+its windows holds. Equal hulls settle all their windows at once; a core that only one hull
+has settles that none of its windows is repeated. Where neither does, one range of each
+hull is cut into finer ones, down to single windows. No pair of occurrences is ever made.
 """
 
 from __future__ import annotations
@@ -25,11 +28,16 @@ from lineseek.runtime import materialize
 NO_ID = (1 << 63) - 1
 PLACE_BITS = 20
 STRIDE = 1 << 19
+# Windows in a range of each round of cutting; the last must be 1.
+WIDTHS = (64, 8, 1)
 
 
 @dataclass(frozen=True)
 class Unit:
-    """What a symbol is, how many make a window, and how many a gram."""
+    """What a symbol is, how many make a window, and how many a gram.
+
+    A gram has a power of two of words, or eight times one of bytes.
+    """
 
     of_words: bool
     length: int
@@ -39,8 +47,8 @@ class Unit:
 class Text:
     """Symbols of one text: where each begins and ends in `data`."""
 
-    def __init__(self, text: str | None, unit: Unit):
-        raw = (text or "").encode("utf-8", "surrogatepass")
+    def __init__(self, text: str | bytes | None, unit: Unit):
+        raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
         self.unit = unit
         if unit.of_words:
             self.words = re.findall(WORD_BYTES, raw)
@@ -53,30 +61,35 @@ class Text:
             self.data, self.count = raw, len(raw)
 
     def grams(self, begin: int, end: int) -> np.ndarray:
-        """Hashes of the grams that start at symbols `begin` to `end`."""
+        """Hashes of the grams that start at symbols `begin` to `end`, by doubling their size."""
         many = np.uint64(0x9E3779B97F4A7C15)
         if self.unit.of_words:
-            one = np.array([xxhash.xxh64_intdigest(w) for w in self.words[begin : end + self.unit.gram - 1]], np.uint64)
-            step = 1
+            part = self.words[begin : end + self.unit.gram - 1]
+            out, size = np.fromiter(map(xxhash.xxh64_intdigest, part), np.uint64, len(part)), 1
         else:
             raw = np.frombuffer(self.data, np.uint8)[begin : end + self.unit.gram - 1]
-            one = np.lib.stride_tricks.sliding_window_view(raw, 8)
-            one = np.ascontiguousarray(one).view("<u8").ravel()
-            step = 8
-        out = np.zeros(end - begin, np.uint64)
-        for j in range(0, self.unit.gram, step):
-            out = (out ^ one[j : j + end - begin]) * many
+            out = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view("<u8").ravel() * many
+            out, size = out ^ (out >> np.uint64(29)), 8
+        while size < self.unit.gram:
+            out = (out[:-size] ^ (out[size:] >> np.uint64(7))) * many + out[size:]
             out ^= out >> np.uint64(29)
+            size *= 2
         return out
 
-    def digest(self, first: int, last: int) -> bytes:
-        """Of symbols `first` to `last`, the last one not included."""
+    def part(self, first: int, last: int) -> bytes:
+        """Symbols `first` to `last`, the last one not included, as a text of their own."""
         if self.unit.of_words:
-            return xxhash.xxh3_128_digest(self.data[self.starts[first] : self.ends[last - 1]])
-        return xxhash.xxh3_128_digest(self.data[first:last])
+            return self.data[self.starts[first] : self.ends[last - 1]]
+        return self.data[first:last]
+
+    def digest(self, first: int, last: int) -> bytes:
+        return xxhash.xxh3_128_digest(self.part(first, last))
 
-    def segments(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(anchor, first window, last window) arrays; a long text comes in several parts."""
+    def segments(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(anchor, first window, last window, anchor's place in the first) arrays.
+
+        A long text comes in several parts.
+        """
         length, gram = self.unit.length, self.unit.gram
         width = length - gram + 1
         for begin in range(0, self.count - length + 1, STRIDE):
@@ -86,7 +99,7 @@ class Text:
             place = (sliding_minimum(packed, width) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
             first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
             last = np.append(first[1:], windows) - 1
-            yield hashes[place[first]].view(np.int64), first + begin, last + begin
+            yield hashes[place[first]].view(np.int64), first + begin, last + begin, place[first] - first
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -108,51 +121,74 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(rows: DataFrame, unit: Unit, passes=None) -> DataFrame:
-    """(anchor, seg, did, rid, first, last) of every segment whose anchor `passes` lets through."""
+    """(key, hull, did, rid, first, last, ahead) of every segment whose anchor `passes` lets through.
+
+    The key is the anchor, `ahead` its place in the first window.
+    """
 
     def find(batches):
         test = passes() if passes else None
         for batch in batches:
-            parts = {name: [] for name in ("anchor", "seg", "did", "rid", "first", "last")}
+            parts = {name: [] for name in ("key", "hull", "did", "rid", "first", "last", "ahead")}
             for text, did, rid in zip(batch["text"], batch["did"], batch["rid"]):
                 held = Text(text, unit)
-                for anchor, first, last in held.segments():
+                for found in held.segments():
                     if test is not None:
-                        keep = test(anchor)
-                        anchor, first, last = anchor[keep], first[keep], last[keep]
-                    parts["anchor"].append(anchor)
-                    parts["first"].append(first)
-                    parts["last"].append(last)
-                    parts["seg"] += [held.digest(a, b + unit.length) for a, b in zip(first.tolist(), last.tolist())]
-                    parts["did"].append(np.full(len(anchor), did))
-                    parts["rid"].append(np.full(len(anchor), rid))
-            if parts["seg"]:
-                yield pd.DataFrame({k: v if k == "seg" else np.concatenate(v) for k, v in parts.items()})
+                        keep = test(found[0])
+                        found = [values[keep] for values in found]
+                    for name, values in zip(("key", "first", "last", "ahead"), found):
+                        parts[name].append(values)
+                    parts["hull"] += [held.digest(a, b + unit.length) for a, b in zip(found[1].tolist(), found[2].tolist())]
+                    parts["did"].append(np.full(len(found[0]), did))
+                    parts["rid"].append(np.full(len(found[0]), rid))
+            if parts["hull"]:
+                yield pd.DataFrame({k: v if k == "hull" else np.concatenate(v) for k, v in parts.items()})
 
-    return rows.select("text", "did", "rid").mapInPandas(find, "anchor long, seg binary, did long, rid long, first int, last int")
+    schema = "key long, hull binary, did long, rid long, first int, last int, ahead int"
+    return rows.select("text", "did", "rid").mapInPandas(find, schema)
 
 
-def windows(rows: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
-    """(win, did, rid, at, many) of all windows in the wanted (did, rid, first, last, many)."""
-    lists = wanted.groupBy("did", "rid").agg(F.collect_set(F.struct("first", "last", "many")).alias("own"))
+def pieces(rows: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
+    """(did, rid, base, ahead, last, data): the symbols of the wanted segments."""
+    lists = wanted.groupBy("did", "rid").agg(F.collect_set(F.struct("first", "last", "ahead")).alias("own"))
 
-    def spell(batches):
+    def copy(batches):
         for batch in batches:
             for text, did, rid, own in zip(batch["text"], batch["did"], batch["rid"], batch["own"]):
                 held = Text(text, unit)
-                places = [(at, part["many"]) for part in own for at in range(part["first"], part["last"] + 1)]
                 yield pd.DataFrame(
-                    {
-                        "win": [held.digest(at, at + unit.length) for at, _ in places],
-                        "did": did,
-                        "rid": rid,
-                        "at": np.array([at for at, _ in places], np.int32),
-                        "many": np.array([many for _, many in places], bool),
-                    }
+                    [(did, rid, p["first"], p["ahead"], p["last"], held.part(p["first"], p["last"] + unit.length)) for p in own],
+                    columns=["did", "rid", "base", "ahead", "last", "data"],
                 )
 
     joined = rows.select("text", "did", "rid").join(lists, ["did", "rid"])
-    return joined.mapInPandas(gathered(spell), "win binary, did long, rid long, at int, many boolean")
+    return joined.mapInPandas(gathered(copy, 5_000), "did long, rid long, base int, ahead int, last int, data binary")
+
+
+def finer(held: DataFrame, unit: Unit, width: int) -> DataFrame:
+    """(key, hull, did, rid, base, first, last) of the ranges in `own`, cut every `width` windows.
+
+    Cuts are counted from the anchor, so equal windows are in ranges alike. The key is the
+    core of an uncut range, which the ends of a segment do not change.
+    """
+    farthest = unit.length - unit.gram
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for did, rid, base, ahead, data, own in zip(*(batch[c] for c in ("did", "rid", "base", "ahead", "data", "own"))):
+                text = Text(data, unit)
+                for part in own:
+                    low, high = ahead - (part["last"] - base), ahead - (part["first"] - base)
+                    for k in range(low // width, high // width + 1):
+                        near, far = k * width, min(k * width + width - 1, farthest)
+                        first, last = ahead - min(far, high), ahead - max(near, low)
+                        core = text.digest(ahead - near, ahead - far + unit.length)
+                        out.append((core, text.digest(first, last + unit.length), did, rid, base, base + first, base + last))
+            if out:
+                yield pd.DataFrame(out, columns=["key", "hull", "did", "rid", "base", "first", "last"])
+
+    return held.mapInPandas(cut, "key binary, hull binary, did long, rid long, base int, first int, last int")
 
 
 def gathered(make, least: int = 20_000):
@@ -172,41 +208,48 @@ def gathered(make, least: int = 20_000):
     return run
 
 
+def settled(found: DataFrame, other_document: bool) -> DataFrame:
+    """Rows of `found` to remove (`gone`) or to look at more finely (`open`), with these flags.
+
+    A hull that stands elsewhere goes: in a document of smaller id, or anywhere. Hulls that
+    share a key with others are open; one occurrence of each speaks for all, except that
+    those in the document of smallest id are not removed with the others and stay in.
+    """
+    here = F.struct("did", "rid", "first")
+    hulls = found.groupBy("key", "hull").agg(F.count("*").alias("n"), F.min(here).alias("who"))
+    hulls = materialize(hulls)
+    several = F.min("who.did") < F.max("who.did") if other_document else F.count("*") > 1
+    keys = hulls.groupBy("key").agg(several.alias("open"))
+    wanted = hulls.join(keys.where("open"), "key", "left").where("open or n > 1")
+    same = F.col("did") == F.col("who.did") if other_document else here == F.col("who")
+    gone = F.col("did") > F.col("who.did") if other_document else F.col("n") > 1
+    flagged = found.join(wanted, ["key", "hull"]).select(
+        *(c for c in found.columns if c not in ("key", "hull")),
+        gone.alias("gone"),
+        (F.coalesce("open", F.lit(False)) & same).alias("open"),
+    )
+    return materialize(flagged.where("gone or open"))
+
+
 def ranges(rows: DataFrame, unit: Unit, other_document: bool, passes=None) -> DataFrame:
     """(did, rid, own): what to remove of each document as lists of (first, after) symbols.
 
     With `other_document` a window goes if it starts in a document of smaller id as well,
-    else if it starts anywhere else.
+    else if it starts anywhere else. Repeated rows stand for themselves in the first round,
+    where their hulls are equal, so finer rounds need not tell them apart.
     """
-    found = materialize(occurrences(rows, unit, passes))
-    who = F.min("did") if other_document else F.min(F.struct("did", "rid", "first"))
-    segments = materialize(found.groupBy("anchor", "seg").agg(F.count("*").alias("n"), who.alias("who")))
-    several = segments.groupBy("anchor").agg(F.count("*").alias("_c")).where("_c > 1").select("anchor")
-    # Segments that could hold a window of another one, each at its first document or place.
-    open_ = segments.join(several, "anchor", "left_semi")
-    if other_document:
-        first = found.join(open_.select("anchor", "seg", F.col("who").alias("did")), ["anchor", "seg", "did"], "left_semi")
-        first = first.withColumn("many", F.lit(False))
-        whole = found.join(segments.where("n > 1").select("anchor", "seg", "who"), ["anchor", "seg"]).where("did > who")
-    else:
-        first = open_.select(F.col("who.did"), F.col("who.rid"), F.col("who.first"), "anchor", "seg", (F.col("n") > 1).alias("many"))
-        first = first.join(found.drop("last"), ["anchor", "seg", "did", "rid", "first"], "left_semi").join(
-            found.select("did", "rid", "first", "last").distinct(), ["did", "rid", "first"]
-        )
-        whole = found.join(segments.where("n > 1").select("anchor", "seg"), ["anchor", "seg"], "left_semi")
-    spelled = materialize(windows(rows, first.select("did", "rid", "first", "last", "many").distinct(), unit))
-    if other_document:
-        # Two rows of one id are no smaller document, so equal windows of one id stay.
-        least = spelled.groupBy("win").agg(F.min("did").alias("_least"), F.max("did").alias("_most")).where("_least < _most")
-        again = spelled.join(least, "win").where("did > _least")
-    else:
-        # Repeated rows spell a window twice, but theirs is a segment found twice anyway.
-        least = spelled.groupBy("win").agg(F.count("*").alias("_n")).where("_n > 1").select("win")
-        again = spelled.where("not many").join(least, "win", "left_semi")
-    spans = whole.select("did", "rid", F.col("first").alias("a"), (F.col("last") + unit.length).alias("b")).union(
-        again.select("did", "rid", "at", F.col("at") + unit.length)
-    )
-    return spans.groupBy("did", "rid").agg(F.collect_set(F.struct("a", "b")).alias("own"))
+    span = F.struct(F.col("first").alias("a"), (F.col("last") + unit.length).alias("b"))
+    now = settled(materialize(occurrences(rows, unit, passes)), other_document)
+    spans = now.where("gone").select("did", "rid", span.alias("span"))
+    data = materialize(pieces(rows, now.where("open"), unit))
+    whole = F.array(F.struct(F.col("base").alias("first"), "last"))
+    held = data.withColumn("own", whole)
+    for width in (w for w in WIDTHS if w == 1 or 2 * w <= unit.length - unit.gram):
+        now = settled(materialize(finer(held, unit, width)), other_document)
+        spans = spans.union(now.where("gone").select("did", "rid", span.alias("span")))
+        own = now.where("open").groupBy("did", "rid", "base").agg(F.collect_set(F.struct("first", "last")).alias("own"))
+        held = data.join(own, ["did", "rid", "base"])
+    return spans.groupBy("did", "rid").agg(F.collect_set("span").alias("own"))
 
 
 def removed(count: int, own) -> np.ndarray:

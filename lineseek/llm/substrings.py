@@ -38,7 +38,7 @@ def sketch(rows: DataFrame, unit: Unit, width: int = WIDTH) -> np.ndarray:
     def fill(batches):
         counts = np.zeros((DEPTH, width), np.uint8)
         for batch in batches:
-            own = [anchor for text in batch["text"] for anchor, _, _ in Text(text, unit).segments()]
+            own = [anchor for text in batch["text"] for anchor, *_ in Text(text, unit).segments()]
             if own:
                 anchors = np.concatenate(own)
                 for row in range(DEPTH):

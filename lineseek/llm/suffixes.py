@@ -11,17 +11,21 @@ from pyspark.sql import DataFrame
 from lineseek.llm.repeats import Text, Unit, keyed, ranges, removed
 
 LENGTH = 400
-GRAM = 16
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def gram_of(length: int) -> int:
+    """Eight times a power of two: the largest up to a sixth of a window, 64 for 400 bytes."""
+    return 8 << max(0, (length // 48).bit_length() - 1)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Return doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     Bytes covered by a string of `length` bytes that starts anywhere else go, all of its
     occurrences. A null or empty text has no bytes; shorter texts keep all. Repeated rows
-    count as often as they stand. `gram` must be a multiple of eight below `length`.
+    count as often as they stand. A window has at least eight bytes.
     """
-    unit = Unit(False, length, gram)
+    unit = Unit(False, length, gram_of(length))
     rows = keyed(docs)
 
     def cut(batches):
