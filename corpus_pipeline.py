@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineseek.llm import decontamination, language, mixing, sharding, simhash
+from lineseek.llm import decontamination, language, mixing, nearcopies, sharding
 from lineseek.runtime import ensure_checkpoint_dir
 
 
@@ -16,8 +16,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group linked by fingerprints."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of every group linked by a similarity of 0.8 of five-word shingles."""
+    return nearcopies.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,15 +106,19 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, prints("text").alias("fp"))
 
 
-def link(values: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component): components of distinct fingerprints, only those with a link."""
+def near_edges(values: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(src, dst): links of distinct fingerprints that span those within the radius."""
     spark = values.sparkSession
     tables = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks(radius)))))
     keyed = values.select("fp", tables.alias("b")).select("b.t", "b.key", "fp")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartition(parts, "t", "key").sortWithinPartitions("t", "key", "fp")
-    edges = ordered.mapInPandas(bucket_edges(radius), "src long, dst long")
-    return components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    return ordered.mapInPandas(bucket_edges(radius), "src long, dst long")
+
+
+def link(values: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, component): components of distinct fingerprints, only those with a link."""
+    return components(near_edges(values, radius)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
 def classes(docs: DataFrame, keep: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
-from lineseek.llm import decontamination, language, mixing, quality, secrets, sharding, simhash, substrings, suffixes, tokens
+from lineseek.llm import decontamination, language, mixing, nearcopies, quality, secrets, sharding, simhash, substrings, suffixes, tokens
 from lineseek.llm.queries import tokenizer_path
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -245,6 +245,54 @@ def test_masks_cover_the_radius():
         assert any(not m & flips for m in own)
 
 
+def shingle_set(text):
+    own = words((text or "").lower())
+    return frozenset(tuple(own[k : k + 5]) for k in range(max(len(own) - 4, 1))) if own else frozenset()
+
+
+def near_copy_rows():
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(300)]
+    texts = [" ".join(base)]
+    for _ in range(40):  # near copies: some words changed in places of their own
+        own = list(base)
+        for k in rng.sample(range(300), rng.randint(1, 14)):
+            own[k] = f"x{rng.randint(0, 5000)}"
+        texts.append(" ".join(own).title())
+    license_ = " ".join(f"l{k}" for k in range(40))
+    texts += [" ".join(f"y{rng.randint(0, 5000)}" for _ in range(n)) + " " + license_ for n in (30, 31, 90, 200) for _ in range(6)]
+    texts += [" ".join(f"z{k}" for k in range(n)) for n in (3, 4, 5, 6, 24, 29, 30, 36)] + ["", None, " \n", texts[3], texts[0]]
+    return [(k, t, "en", "a", 1, None, None, None) for k, t in enumerate(texts)] + [(None, texts[5], "en", "a", 1, None, None, None)] * 2
+
+
+def test_pipeline_drops_every_near_copy(spark, docs, empty, monkeypatch):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    made = spark.createDataFrame(near_copy_rows(), SCHEMA).repartition(3)
+    for table, pairs_at_once in ((made, 0), (made.union(docs), 4)):
+        monkeypatch.setattr(nearcopies, "PAIRS_PER_MEMBER", pairs_at_once)
+        rows = [(r["doc_id"], shingle_set(r["text"])) for r in table.collect()]
+        sets = list({s for _, s in rows})
+        root = {s: s for s in sets}
+
+        def find(s, root=root):
+            while root[s] != s:
+                s = root[s]
+            return s
+
+        for k, s in enumerate(sets):
+            for t in sets[k + 1 :]:
+                if 10 * len(s & t) >= 8 * len(s | t):
+                    root[find(t)] = find(s)
+        first = {}
+        for d, s in rows:
+            first[find(s)] = min(math.inf if d is None else d, first.get(find(s), math.inf))
+        want = sorted(first.values())
+        assert sorted(math.inf if r["doc_id"] is None else r["doc_id"] for r in stage(spark, table, SF_DIR).collect()) == want
+    assert stage(spark, empty, SF_DIR).count() == 0
+
+
 def removed_bytes(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[k : k + length] for d in data for k in range(len(d) - length + 1))
