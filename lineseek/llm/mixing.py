@@ -119,18 +119,25 @@ def shards_of_blocks(blocks: DataFrame, shards: int = SHARDS) -> DataFrame:
     return placed.join(F.broadcast(bounds), inside).select("_bs", "_bb", "_pass", "_shard")
 
 
-def counted(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with `_repeats`, sources, blocks). A cut block is cut between its rows."""
+def dealt(docs: DataFrame, keep: list[str], shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+    """(rows with `_draws`, sources). A draw is a pass over a row that the tree gave to a shard.
+
+    Blocks are dealt whole; of a cut block's last pass only the rows before the cut are drawn.
+    `_order` is a permuted place in the shard.
+    """
     light = materialize(sized(docs, []))
     sources, blocks = plan(light)
     blocks = materialize(blocks)
-    rows = sized(docs, keep).join(
-        F.broadcast(blocks), F.col("source").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb"))
+    passes = shards_of_blocks(blocks, shards).groupBy(F.col("_bs").alias("_ds"), F.col("_bb").alias("_db")).agg(
+        F.sort_array(F.collect_list(F.struct("_pass", "_shard"))).alias("_passes")
     )
+    here = F.col("_bs").eqNullSafe(F.col("_ds")) & (F.col("_bb") == F.col("_db"))
+    cut = F.when(F.col("_room").isNotNull(), F.col("_repeats") + 1)
+    given = materialize(blocks.join(passes, here, "left").select("_bs", "_bb", "_passes", "_room", cut.alias("_cut")))
+    own = F.col("source").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb"))
+    rows = sized(docs, keep).join(F.broadcast(given), own)
     # One block of each source at most has room: a five-hundredth of the source's rows.
-    inside = light.join(
-        F.broadcast(blocks.where("_room is not null")), F.col("source").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb"))
-    )
+    inside = light.join(F.broadcast(given.where("_room is not null")), own)
     totals = inside.groupBy("_bs", "_place").agg(F.sum("_size").alias("_n"), F.first("_room").alias("_room"))
     order = Window.partitionBy("_bs").orderBy("_place")
     # Rows up to the one that crosses the cut; it goes in if that comes nearer to the target.
@@ -138,17 +145,23 @@ def counted(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame, Dat
     taken = totals.withColumn("_sum", after).where(2 * F.col("_sum") - F.col("_n") <= 2 * F.col("_room"))
     taken = taken.select(F.col("_bs").alias("_ts"), F.col("_place").alias("_tp")).distinct()
     rows = rows.join(taken, F.col("source").eqNullSafe(F.col("_ts")) & (F.col("_place") == F.col("_tp")), "left")
-    return rows.withColumn("_repeats", F.col("_repeats") + F.col("_tp").isNotNull().cast("int")), sources, blocks
+    drawn = F.filter("_passes", lambda p: F.col("_tp").isNotNull() | F.col("_cut").isNull() | (p["_pass"] < F.col("_cut")))
+    placed = F.transform(
+        drawn, lambda p: F.struct(p["_pass"].alias("_pass"), p["_shard"].alias("_shard"), F.xxhash64("_place", p["_pass"]).alias("_order"))
+    )
+    none = F.array().cast("array<struct<_pass:int,_shard:int,_order:bigint>>")
+    return rows.withColumn("_draws", F.coalesce(placed, none)), sources
 
 
 def mix_counts(docs: DataFrame) -> DataFrame:
-    """Return doc_id, size, source_size, target, taken, n_repeats of every document.
+    """Return doc_id, size, source_size, target, taken, n_repeats, draws of every document.
 
+    `draws` lists shard:order of every pass that the tree dealt; their number is n_repeats.
     Null texts have size 0 and take nothing. A null source is a source of its own, last in
     order. Rows equal in id and text share one place and are taken alike; a source of no
     words has target 0. An empty table returns no rows.
     """
-    rows, sources, _ = counted(docs, ["doc_id"])
+    rows, sources = dealt(docs, ["doc_id"])
     return rows.join(
         F.broadcast(sources.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))
     ).select(
@@ -156,8 +169,9 @@ def mix_counts(docs: DataFrame) -> DataFrame:
         F.col("_size").alias("size"),
         "source_size",
         "target",
-        (F.col("_size") * F.col("_repeats")).cast("long").alias("taken"),
-        F.col("_repeats").alias("n_repeats"),
+        (F.col("_size") * F.size("_draws")).cast("long").alias("taken"),
+        F.size("_draws").alias("n_repeats"),
+        F.array_join(F.transform("_draws", lambda d: F.concat_ws(":", d["_shard"], d["_order"])), ",").alias("draws"),
     )
 
 
@@ -166,16 +180,11 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Sorting a shard by `_order` is its local shuffle.
     """
-    rows, _, blocks = counted(docs, [c for c in docs.columns if c != "source"])
-    drawn = rows.where("_repeats > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
-    dealt = shards_of_blocks(blocks, shards).select(
-        F.col("_bs").alias("_ds"), F.col("_bb").alias("_db"), F.col("_pass").alias("_dp"), "_shard"
-    )
-    same = F.col("source").eqNullSafe(F.col("_ds")) & (F.col("_block") == F.col("_db")) & (F.col("_pass") == F.col("_dp"))
-    out = drawn.join(F.broadcast(dealt), same)
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "_shard", F.xxhash64("_place", "_pass").alias("_order"))
+    rows, _ = dealt(docs, [c for c in docs.columns if c != "source"], shards)
+    out = rows.withColumn("_d", F.explode("_draws"))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "_d._shard", "_d._order")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mixed corpus with the columns of `docs` only."""
-    return mix(docs).select(*(f"`{c}`" for c in docs.columns))
+    """The mixed corpus with the columns of `docs` only, shard after shard, each in its shuffled order."""
+    return mix(docs).orderBy("_shard", "_order").select(*(f"`{c}`" for c in docs.columns))

@@ -205,6 +205,17 @@ def test_mixing(real, docs):
     assert drawn.select("_shard").distinct().count() == 8
 
 
+def test_the_mix_is_what_the_tree_dealt(real, monkeypatch):
+    rows = mixing.mix_counts(real).collect()
+    own = {r["doc_id"]: [tuple(map(int, d.split(":"))) for d in r["draws"].split(",") if d] for r in rows}
+    assert all(r["n_repeats"] == len(own[r["doc_id"]]) and r["taken"] == r["size"] * r["n_repeats"] for r in rows)
+    draws = sorted((*d, doc_id) for doc_id, found in own.items() for d in found)
+    assert sorted((r["_shard"], r["_order"], r["doc_id"]) for r in mixing.mix(real).collect()) == draws
+    assert [r["doc_id"] for r in mixing.mixed_documents(real).collect()] == [doc_id for *_, doc_id in draws]
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, rng: [0 * quotas] * shards)
+    assert all(r["taken"] == 0 for r in mixing.mix_counts(real).collect())
+
+
 def plain_fingerprint(text):
     lowered = "".join(c.lower() if c.isascii() else c for c in text or "")
     own = words(lowered)
