@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineseek.runtime import BROADCAST_ROWS
+
 WHITE = " \t\n\x0b\f\r"
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -33,3 +35,23 @@ def let(value: Column, body) -> Column:
 def row_key(doc_id: Column, text: Column) -> Column:
     """Rows equal in id and text share a key; a null text differs from an empty one."""
     return F.md5(F.concat_ws("|", doc_id.cast("string"), text.isNull().cast("string"), whole(text)).cast("binary"))
+
+
+# A key with more than one in so many of the rows is joined by broadcast.
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, uses: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`rows` joined to `table`, unique on `key`, whose column `uses` counts the rows with that key.
+
+    A small table is broadcast. Of a larger one only the keys with over a thousandth of all
+    rows are, at most a thousand; the rest meet in a shuffle where no key is hot.
+    """
+    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return rows.join(F.broadcast(table.drop(uses)), key)
+    total = table.agg(F.sum(uses)).first()[0]
+    is_hot = F.col(uses) * HOT_SHARE > total
+    hot, rest = table.where(is_hot).drop(uses), table.where(~is_hot).drop(uses)
+    by_hot = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return by_hot.unionByName(others)
