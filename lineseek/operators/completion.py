@@ -17,13 +17,12 @@ from lineseek.operators.postings import (
     fetch_lines,
 )
 from lineseek.operators.ranking import top_k
+from lineseek.operators.sessions import NO_MATCHES
 from lineseek.runtime import broadcast_if_small, materialize, spread
 
 DEFAULT_K = 5
 # Size of the part of the lines searched first: a share of them within bounds.
 HEAD_SHARE, HEAD_LEAST, HEAD_MOST = 32, 1_000, 4_000_000
-# Fixed value: reported for an admitted query without results.
-NO_MATCHES = "No suggestions found."
 
 
 def admit(queries: DataFrame, text: str = "query_text") -> DataFrame:

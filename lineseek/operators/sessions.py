@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineseek.functions.text import after_reset, has_reset, is_blank
@@ -12,110 +12,65 @@ from lineseek.functions.transcripts import (
     NOT_RECOGNIZED_MESSAGE,
     best_transcript,
 )
+from lineseek.operators import scan
+from lineseek.runtime import broadcast_if_small, materialize
 
-# Consecutive rows of one session handled in one group; the groups are then linked.
-STRETCH = 1024
+# Fixed value: shown for a text that finds nothing.
+NO_MATCHES = "No suggestions found."
 
 
-def _stretch(seq: str, size: int) -> Column:
-    return F.floor(F.col(seq) / size).cast("long")
+def chunk_events(chunks: DataFrame) -> DataFrame:
+    """(session_id, seq, _reset, _piece) of the chunks that are events."""
+    return chunks.where(F.col("chunk") != "").select(
+        "session_id",
+        "seq",
+        has_reset(F.col("chunk")).alias("_reset"),
+        after_reset(F.col("chunk")).alias("_piece"),
+    )
 
 
-def session_text(chunks: DataFrame, *, stretch: int = STRETCH) -> DataFrame:
+def session_text(chunks: DataFrame, *, block_rows: int = scan.BLOCK_ROWS) -> DataFrame:
     """Text of a session after each chunk, for chunks (session_id, seq, chunk).
 
     Chunks append; a reset marker drops everything up to its last place in the chunk; an
-    empty chunk is no event. `fired` tells whether the text is searched for.
-
-    A session is worked on in stretches of its `seq`, so that one very long session is
-    many groups: first the text inside each stretch, then the text each stretch hands on,
-    over one row per stretch.
+    empty chunk is no event. `fired` tells whether the text is searched for. `seq` is of any
+    ordered type and unique in its session. A session of any length is worked on in blocks
+    of `block_rows` rows, which are then linked (`scan.running_text`).
     """
-    events = chunks.where(F.col("chunk") != "").select(
-        "session_id",
-        "seq",
-        _stretch("seq", stretch).alias("_stretch"),
-        has_reset(F.col("chunk")).cast("int").alias("_reset"),
-        after_reset(F.col("chunk")).alias("_part"),
-    )
-    until_here = (Window.unboundedPreceding, Window.currentRow)
-    inside = Window.partitionBy("session_id", "_stretch").orderBy("seq").rowsBetween(*until_here)
-    since_reset = (
-        Window.partitionBy("session_id", "_stretch", "_resets").orderBy("seq").rowsBetween(*until_here)
-    )
-    local = events.withColumn("_resets", F.sum("_reset").over(inside)).withColumn(
-        "_text", F.array_join(F.collect_list("_part").over(since_reset), "")
-    )
-    # What a stretch leaves behind, without the text it starts from.
-    ends = (
-        events.withColumn("_resets", F.sum("_reset").over(inside))
-        .groupBy("session_id", "_stretch", "_resets")
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "_part"))).alias("_parts"))
-        .groupBy("session_id", "_stretch")
-        .agg(
-            (F.max("_resets") > 0).cast("int").alias("_has_reset"),
-            F.max_by("_parts", "_resets").alias("_parts"),
-        )
-        .select(
-            "session_id",
-            "_stretch",
-            "_has_reset",
-            F.array_join(F.transform("_parts", lambda item: item["_part"]), "").alias("_tail"),
-        )
-    )
-    by_stretch = Window.partitionBy("session_id").orderBy("_stretch")
-    linked = Window.partitionBy("session_id", "_run").orderBy("_stretch").rowsBetween(*until_here)
-    handed_on = (
-        ends.withColumn("_run", F.sum("_has_reset").over(by_stretch.rowsBetween(*until_here)))
-        .withColumn("_after", F.array_join(F.collect_list("_tail").over(linked), ""))
-        .select(
-            "session_id",
-            "_stretch",
-            F.coalesce(F.lag("_after").over(by_stretch), F.lit("")).alias("_before"),
-        )
-    )
-    text = F.when(F.col("_resets") == 0, F.concat("_before", "_text")).otherwise(F.col("_text"))
-    return (
-        local.join(handed_on, ["session_id", "_stretch"])
-        .select("session_id", "seq", text.alias("session_text"))
-        .withColumn("fired", ~is_blank(F.col("session_text")))
+    placed = scan.in_order(chunk_events(chunks), ("session_id", "seq"))
+    told = scan.running_text(placed, "session_id", block_rows)
+    return told.select("session_id", "seq", F.col("_text").alias("session_text")).withColumn(
+        "fired", ~is_blank(F.col("session_text"))
     )
 
 
-def session_queries(chunks: DataFrame, *, stretch: int = STRETCH) -> DataFrame:
+def session_queries(chunks: DataFrame, *, block_rows: int = scan.BLOCK_ROWS) -> DataFrame:
     """The accumulated texts that are searched for, as `query_text`."""
     return (
-        session_text(chunks, stretch=stretch)
+        session_text(chunks, block_rows=block_rows)
         .where("fired")
         .select("session_id", "seq", F.col("session_text").alias("query_text"))
     )
 
 
 def drop_repeats(
-    recordings: DataFrame, session: str, seq: str, content: str, *, stretch: int = STRETCH
+    recordings: DataFrame, session: str, seq: str, content: str, *, block_rows: int = scan.BLOCK_ROWS
 ) -> DataFrame:
     """Drop a recording whose bytes equal those of the one before it in its session.
 
-    The comparison is by SHA-256 (`content_hash`). As above, a long session is cut into
-    stretches; the first row of one is compared with the last row of the one before.
+    The comparison is by SHA-256 (`content_hash`). Only ids and hashes are ordered, in
+    blocks as above; the recordings themselves lose the rows found to repeat. `seq` is
+    unique in its session.
     """
-    hashed = recordings.withColumn("content_hash", F.sha2(F.col(content), 256)).withColumn(
-        "_stretch", _stretch(seq, stretch)
-    )
-    inside = Window.partitionBy(session, "_stretch").orderBy(seq)
-    by_stretch = Window.partitionBy(session).orderBy("_stretch")
-    last = (
-        hashed.groupBy(session, "_stretch")
-        .agg(F.max_by("content_hash", seq).alias("_last"))
-        .select(session, "_stretch", F.lag("_last").over(by_stretch).alias("_last_before"))
-    )
-    before = F.coalesce(F.lag("content_hash").over(inside), F.col("_last_before"))
-    return (
-        hashed.join(last, [session, "_stretch"])
-        .withColumn("_before", before)
-        .where(~F.col("content_hash").eqNullSafe(F.col("_before")))
-        .select(*recordings.columns, "content_hash")
+    content_hash = F.sha2(F.col(content), 256)
+    light = recordings.select(
+        F.col(session).alias("_session"), F.col(seq).alias("_seq"), content_hash.alias("_hash")
     )
+    placed = scan.in_order(light, ("_session", "_seq", "_hash"))
+    found = scan.equals_previous(placed, "_session", "_hash", block_rows).where("_repeats")
+    repeats = broadcast_if_small(materialize(found.select("_session", "_seq")))
+    same_row = F.col(session).eqNullSafe(F.col("_session")) & F.col(seq).eqNullSafe(F.col("_seq"))
+    return recordings.join(repeats, same_row, "left_anti").withColumn("content_hash", content_hash)
 
 
 def transcribe(responses: DataFrame) -> DataFrame:
@@ -162,3 +117,19 @@ def render_results(completions: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         F.format_string("Here are %d suggestions:", shown).alias("header"),
         line.alias("line"),
     )
+
+
+def screen(fired: DataFrame, completions: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Everything shown for each fired text, in order: (keys..., place from 0, line).
+
+    A header with the results, or the message that there are none; then the text itself.
+    `completions` holds the results of some of the texts by the same keys.
+    """
+    rendered = render_results(completions, keys)
+    results = rendered.select(*keys, F.col("rank").alias("place"), "line")
+    headers = rendered.where(F.col("rank") == 1).select(*keys, F.lit(0).alias("place"), F.col("header").alias("line"))
+    shown = completions.groupBy(*keys).agg(F.max("rank").alias("_last"))
+    ends = fired.select(*keys, F.col("query_text").alias("_echo")).join(shown, list(keys), "left")
+    nothing = ends.where(F.col("_last").isNull()).select(*keys, F.lit(0).alias("place"), F.lit(NO_MATCHES).alias("line"))
+    echoes = ends.select(*keys, (F.coalesce("_last", F.lit(0)) + 1).alias("place"), F.col("_echo").alias("line"))
+    return headers.unionByName(results).unionByName(nothing).unionByName(echoes)

@@ -9,7 +9,7 @@ from lineseek.functions.scoring import score_exact
 from lineseek.functions.text import edit_pairs, normalize
 from lineseek.operators.ladder import plan_edits, sane, spell_edits
 from lineseek.operators.ranking import number_rows
-from lineseek.runtime import broadcast_if_small
+from lineseek.runtime import broadcast_if_small, materialize
 
 # Fixed value: how many different typos the table keeps.
 MAX_ENTRIES = 10_000
@@ -76,9 +76,45 @@ def keep_first_seen(typos: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFra
 
 def drop_least_frequent(typos: DataFrame, fraction: float) -> DataFrame:
     """Remove the lowest `int(n * fraction)` rows by frequency, ties by first seen."""
+    return _by_frequency(typos, fraction, kept=True)
+
+
+def least_frequent(typos: DataFrame, fraction: float) -> DataFrame:
+    """The rows that `drop_least_frequent` removes."""
+    return _by_frequency(typos, fraction, kept=False)
+
+
+def _by_frequency(typos: DataFrame, fraction: float, kept: bool) -> DataFrame:
     ranked = number_rows(typos, ("frequency", "first_seen", "typo"), "_place")
     dropped = int(typos.count() * fraction)
-    return ranked.where(F.col("_place") >= dropped).drop("_place")
+    place = F.col("_place")
+    return ranked.where(place >= dropped if kept else place < dropped).drop("_place")
+
+
+def merge_records(
+    stored: DataFrame, records: DataFrame, seq: str = "seq", max_entries: int = MAX_ENTRIES
+) -> DataFrame:
+    """The rows of a typo table that a batch of later records sets anew.
+
+    A known typo gains the batch's count and takes its latest correction. New typos come in
+    as they are first seen until the table holds `max_entries`; the rest leave no trace. So
+    the table after several batches is that of one record after the other.
+    """
+    counted = materialize(count_typos(records, seq))
+    known = stored.select(
+        "typo", F.col("frequency").alias("_frequency"), F.col("first_seen").alias("_first")
+    )
+    met = counted.join(broadcast_if_small(known), "typo", "left")
+    again = met.where(F.col("_first").isNotNull()).select(
+        "typo",
+        "correction",
+        (F.col("frequency") + F.col("_frequency")).alias("frequency"),
+        F.col("_first").alias("first_seen"),
+    )
+    # The table is never larger than `max_entries`.
+    room = max(0, max_entries - stored.count())
+    new = met.where(F.col("_first").isNull()).select(counted.columns)
+    return again.unionByName(keep_first_seen(new, room))
 
 
 def lookup(texts: DataFrame, typos: DataFrame, text: str = "typo") -> DataFrame:

@@ -373,9 +373,13 @@ def session_text(spark, sf_dir):
     return sessions.session_text(views.chunks(spark, sf_dir))
 
 
+def _session_results(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    typed = materialize(sessions.session_queries(views.typed_chunks(spark, sf_dir)))
+    return typed, completion.complete(views.numbered_lines(spark, sf_dir), typed, K)
+
+
 def session_completions(spark, sf_dir):
-    typed = sessions.session_queries(views.typed_chunks(spark, sf_dir))
-    found = completion.complete(views.numbered_lines(spark, sf_dir), typed, K)
+    _, found = _session_results(spark, sf_dir)
     return found.select(
         "session_id",
         "seq",
@@ -388,6 +392,12 @@ def session_completions(spark, sf_dir):
     )
 
 
+def session_transcript(spark, sf_dir):
+    """What a session shows, line by line, also for texts that find nothing."""
+    typed, found = _session_results(spark, sf_dir)
+    return sessions.screen(typed, materialize(found), ("session_id", "seq"))
+
+
 def consecutive_dedup(spark, sf_dir):
     """Lines of each source without those equal to the line before them."""
     recordings = views.lines(spark, sf_dir).select("source_text", "offset", "original_sentence")
@@ -407,41 +417,57 @@ def recording_dedup(spark, sf_dir):
 # Streams
 
 
-def _stream(spark, table: DataFrame, name: str) -> DataFrame:
+def _stream(spark, table: DataFrame, name: str, bounds: tuple = (), order: str = "seq") -> DataFrame:
+    """The table as a stream, one micro-batch for the rows up to each bound and one for the rest."""
     path = _scratch(spark, name)
-    table.write.parquet(path)
-    return spark.readStream.schema(table.schema).parquet(path)
+    place = F.col(order)
+    for low, high in zip((None, *bounds), (*bounds, None)):
+        part = table if low is None else table.where(place >= low)
+        part = part if high is None else part.where(place < high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def streaming_session_text(spark, sf_dir):
+    """Session text over a stream of three batches, each going on from the one before."""
     out = _scratch(spark, "session-text")
-    (
-        jobs.stream_session_text(_stream(spark, views.chunks(spark, sf_dir), "chunks"))
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", _scratch(spark, "stream"))
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.parquet(out)
+    arriving = _stream(spark, views.chunks(spark, sf_dir), "chunks", (2, 5))
+    jobs.write_session_text(arriving, out, _scratch(spark, "stream")).awaitTermination()
+    return spark.read.parquet(f"{out}/text").drop("batch_id")
+
+
+def _thirds(records: DataFrame) -> tuple:
+    """Where the range of `seq` is cut in three."""
+    low, high = records.agg(F.min("seq"), F.max("seq")).first()
+    return () if low is None else tuple(low + (high - low) * n // 3 for n in (1, 2))
 
 
 def streaming_typo_counts(spark, sf_dir):
-    out = _scratch(spark, "typo-updates")
-    records = _stream(spark, _records(spark, sf_dir), "records")
-    jobs.write_updates(
-        jobs.stream_typo_counts(records), out, _scratch(spark, "stream")
+    """The typo table kept by a stream of three batches of records."""
+    out = _scratch(spark, "typo-table")
+    records = materialize(_records(spark, sf_dir))
+    arriving = _stream(spark, records, "records", _thirds(records))
+    jobs.write_typo_table(arriving, out, _scratch(spark, "stream")).awaitTermination()
+    return jobs.typo_versions(spark, out).latest()
+
+
+def typo_table_held_small(spark, sf_dir):
+    """The same stream with room for 30 typos, of which every second batch drops a third."""
+    out = _scratch(spark, "typo-table")
+    records = materialize(_records(spark, sf_dir))
+    arriving = _stream(spark, records, "records", _thirds(records))
+    jobs.write_typo_table(
+        arriving, out, _scratch(spark, "stream"), max_entries=30, thin_every=2, thin_fraction=1 / 3
     ).awaitTermination()
-    return jobs.latest_updates(spark.read.parquet(out), "typo")
+    return jobs.typo_versions(spark, out).latest().select("typo", "correction", "frequency")
 
 
 def streaming_completions(spark, sf_dir):
-    out = _scratch(spark, "completions")
-    arriving = _stream(spark, views.queries(spark, sf_dir), "queries")
-    jobs.write_completions(
-        arriving, views.numbered_lines(spark, sf_dir), out, _scratch(spark, "stream"), K
-    ).awaitTermination()
+    """Queries that arrive in two batches, answered through one stored index."""
+    out, path = _scratch(spark, "completions"), _scratch(spark, "index")
+    index = Index.build(views.lines(spark, sf_dir)).save(path)
+    arriving = _stream(spark, views.queries(spark, sf_dir), "queries", (20_000,), "query_id")
+    jobs.write_completions(arriving, index, out, _scratch(spark, "stream"), K).awaitTermination()
     return spark.read.parquet(out).select(*RESULT)
 
 
@@ -492,9 +518,11 @@ QUERIES = {
     "prioritized_variants": prioritized_variants,
     "session_text": session_text,
     "session_completions": session_completions,
+    "session_transcript": session_transcript,
     "consecutive_dedup": consecutive_dedup,
     "recording_dedup": recording_dedup,
     "streaming_session_text": streaming_session_text,
     "streaming_typo_counts": streaming_typo_counts,
+    "typo_table_held_small": typo_table_held_small,
     "streaming_completions": streaming_completions,
 }

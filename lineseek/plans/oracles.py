@@ -263,6 +263,38 @@ def _transcripts() -> str:
           from heard group by recording_id)"""
 
 
+def _held_small(room: int = 30) -> str:
+    """Three batches into a table with little room, thinned by a third after the second."""
+
+    def counted(where: str) -> str:
+        return f"""select typo, arg_max(correction, seq) as correction, count(*) as frequency, min(seq) as first_seen
+            from records cross join bounds where {where} group by typo"""
+
+    def merged(table: str, batch: str) -> str:
+        return f"""
+        select t.typo, coalesce(c.correction, t.correction) as correction,
+               t.frequency + coalesce(c.frequency, 0) as frequency, t.first_seen
+        from {table} t left join {batch} c using (typo)
+        union all
+        select typo, correction, frequency, first_seen
+        from (select *, row_number() over (order by first_seen, typo) as n
+              from {batch} where typo not in (select typo from {table}))
+        where n <= {room} - (select count(*) from {table})"""
+
+    return _with("records") + f"""
+    , bounds as (select min(seq) + (max(seq) - min(seq)) // 3 as one, min(seq) + (max(seq) - min(seq)) * 2 // 3 as two from records),
+    nothing as (select * from ({counted("false")})),
+    c0 as ({counted("seq < one")}), c1 as ({counted("seq >= one and seq < two")}), c2 as ({counted("seq >= two")}),
+    t0 as ({merged("nothing", "c0")}),
+    t1 as ({merged("t0", "c1")}),
+    thin as (
+        select * exclude (n, size)
+        from (select *, row_number() over (order by frequency, first_seen, typo) as n, count(*) over () as size from t1)
+        where n > floor(size * (1.0::double / 3))),
+    t2 as ({merged("thin", "c2")})
+    select typo, correction, frequency from t2"""
+
+
 def statements() -> dict[str, str]:
     results = _with("results")
     topk = f"""{results}
@@ -405,6 +437,25 @@ def statements() -> dict[str, str]:
         select session_id, seq, query_text as echo, rank,
                original_sentence as completed_sentence, source_text, "offset", score
         from admitted join ranked using (query) where rank <= {K}""",
+        "session_transcript": session_relations + f""",
+        found as (
+          select session_id, seq, query_text, rank, original_sentence, source_text, "offset", score
+          from admitted join ranked using (query) where rank <= {K}),
+        fired as (
+          select session_id, seq, session_text as query_text
+          from ({_session_text("typed_chunks")}) where fired),
+        counted as (
+          select f.session_id, f.seq, f.query_text, count(rank)::int as n
+          from fired f left join found r on f.session_id = r.session_id and f.seq = r.seq group by all)
+        select session_id, seq, 0 as place,
+               case n when 0 then 'No suggestions found.' else 'Here are ' || n || ' suggestions:' end as line
+        from counted
+        union all
+        select session_id, seq, rank,
+               rank || '. ' || original_sentence || ' (' || source_text || ':' || "offset" || ', score=' || score || ')'
+        from found
+        union all
+        select session_id, seq, n + 1, query_text from counted""",
         "consecutive_dedup": _with("lines") + """
         select source_text, "offset", content_hash
         from (select *, lag(content_hash) over (partition by source_text order by "offset") as before
@@ -417,5 +468,6 @@ def statements() -> dict[str, str]:
         where content_hash is distinct from before""",
         "streaming_session_text": _with("chunks") + _session_text("chunks"),
         "streaming_typo_counts": _with("typos") + "select * from typos",
+        "typo_table_held_small": _held_small(),
         "streaming_completions": topk,
     }

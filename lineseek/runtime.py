@@ -60,3 +60,9 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     if df.limit(limit + 1).count() <= limit:
         return F.broadcast(df)
     return df
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder this library wrote and no longer needs; a missing one is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
