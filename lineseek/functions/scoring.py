@@ -10,8 +10,6 @@ SUBSTITUTION_PENALTIES = (5, 4, 3, 2, 1)
 INDEL_PENALTIES = (10, 8, 6, 4, 2)
 # From this position on the penalty no longer changes.
 LAST_POSITION = 5
-# The most distinct scores a query can reach.
-MAX_TIERS = 10
 
 
 def _penalty(table: tuple[int, ...], position: Column) -> Column:
@@ -19,7 +17,7 @@ def _penalty(table: tuple[int, ...], position: Column) -> Column:
         F.array(*[F.lit(value) for value in table]), F.least(position, F.lit(len(table)))
     )
     refused = F.raise_error(
-        F.concat(F.lit("position is 1-based, got "), position.cast("string"))
+        F.concat(F.lit("a place in a text counts from 1, not "), position.cast("string"))
     ).cast("int")
     return F.when(position >= 1, by_position).otherwise(refused)
 

@@ -12,6 +12,7 @@ from lineseek.functions.text import has_content, normalize
 from lineseek.operators import seeding
 from lineseek.operators.postings import (
     INDEX_ROWS,
+    affordable,
     candidate_lines,
     choose_tokens,
     fetch_lines,
@@ -130,15 +131,19 @@ def score_alignments(met: DataFrame, start: Column, keep: tuple[str, ...]) -> Da
 
 @dataclass(frozen=True)
 class Search:
-    """Distinct queries made ready: their stored seeds and how many to broadcast at once."""
+    """Distinct queries made ready: their stored seeds and how many may be broadcast."""
 
     seeds: DataFrame
-    slice_rows: int
+    seed_rows: int
 
+    def without(self, found: DataFrame) -> Search:
+        """The search for the queries not in `found`."""
+        return Search(self.seeds.join(found.select("query"), "query", "left_anti"), self.seed_rows)
 
-def prepare(admitted: DataFrame, slice_rows: int = seeding.SLICE_ROWS) -> Search:
+
+def prepare(admitted: DataFrame, seed_rows: int = seeding.SEED_ROWS) -> Search:
     """Work out the seeds of every distinct `query` once, for as many passes as follow."""
-    return Search(materialize(one_edit_seeds(admitted.select("query").distinct())), slice_rows)
+    return Search(materialize(one_edit_seeds(admitted.select("query").distinct())), seed_rows)
 
 
 def one_edit_hits(
@@ -163,23 +168,16 @@ def one_edit_hits(
     useful = seeds.where(
         (F.col("floor") < F.col("reach")) & (F.col("floor") >= F.col("from_floor"))
     )
-    slices = seeding.slices_of(useful, "query", search.slice_rows)
-    if not slices.widths:
+    measured = seeding.measure(useful, "query", search.seed_rows)
+    if not measured.widths:
         return lines.limit(0).select(F.lit("").alias("query"), *keep, F.lit(0).alias("score"))
     text = "normalized_sentence"
-    pieces = seeding.pieces_of(
-        lines.select(*dict.fromkeys((*keep, text))), text, slices.widths
-    ).drop(*{text} - set(keep))
-
-    def search_slice(part: DataFrame) -> DataFrame:
-        start = F.col("_pos") - F.col("seed_offset")
-        half_intact = (
-            seeding.cut(start + F.col("half_offset"), F.col("half_length")) == F.col("half")
-        )
-        met = pieces.join(F.broadcast(part), F.col("_key") == F.col("seed_key"))
-        return score_alignments(met.where(half_intact), start, keep)
-
-    return seeding.per_slice(useful, "query", slices, search_slice)
+    met = seeding.meet(
+        lines.select(*keep, F.col(text).alias("_line_text")), "_line_text", useful, "query", measured
+    )
+    start = F.col("_pos") - F.col("seed_offset")
+    half_intact = seeding.cut(start + F.col("half_offset"), F.col("half_length")) == F.col("half")
+    return score_alignments(met.where(half_intact), start, keep)
 
 
 def line_count(lines: DataFrame) -> int:
@@ -194,6 +192,17 @@ def head_size(count: int) -> int:
     return share if share >= HEAD_LEAST else 0
 
 
+def first_lines(lines: DataFrame, head_lines: int) -> DataFrame:
+    """The head, dealt out by line: stored in line order it would be a task or two.
+
+    It is bounded by HEAD_MOST. As every line's hits come up in one task, that task alone
+    leaves each line's best score, and sends on only the best lines of each query.
+    """
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    head = lines.where(F.col("line_id") < head_lines).select("line_id", "normalized_sentence")
+    return head.repartition(cores, "line_id")
+
+
 def best_lines(lines: DataFrame, search: Search, k: int, *, head_lines: int) -> DataFrame:
     """Best `k` of the numbered `lines` per distinct query: query, line_id, score, rank.
 
@@ -203,21 +212,15 @@ def best_lines(lines: DataFrame, search: Search, k: int, *, head_lines: int) ->
     matches. That keeps queries which fit nearly every line out of the long pass.
     """
     if head_lines <= 0:
-        return top_k(one_edit_hits(lines, search), k, tiers=scoring.MAX_TIERS)
-    cores = lines.sparkSession.sparkContext.defaultParallelism
-    # The head is bounded by HEAD_MOST; stored in line order it would be a task or two.
-    head = (
-        lines.where(F.col("line_id") < head_lines)
-        .select("line_id", "normalized_sentence")
-        .repartition(cores)
-    )
+        return top_k(one_edit_hits(lines, search), k)
+    head = first_lines(lines, head_lines)
     # At most k rows per query.
-    from_head = materialize(top_k(one_edit_hits(head, search), k, tiers=scoring.MAX_TIERS))
+    from_head = materialize(top_k(one_edit_hits(head, search), k))
     floors = from_head.where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
     rest = lines.where(F.col("line_id") >= head_lines)
-    from_rest = top_k(one_edit_hits(rest, search, floors), k, tiers=scoring.MAX_TIERS)
+    from_rest = top_k(one_edit_hits(rest, search, floors), k)
     # Both sides name a line once, so the places of the union are final.
-    return top_k(from_head.unionByName(from_rest).drop("rank"), k, tiers=1)
+    return top_k(from_head.unionByName(from_rest).drop("rank"), k)
 
 
 def show_results(
@@ -252,7 +255,7 @@ def complete(
     *,
     text: str = "query_text",
     head_lines: int | None = None,
-    slice_rows: int = seeding.SLICE_ROWS,
+    seed_rows: int = seeding.SEED_ROWS,
 ) -> DataFrame:
     """Best `k` of the numbered `lines` for every row of `queries`, by scanning the lines.
 
@@ -265,7 +268,7 @@ def complete(
     admitted = materialize(admit(queries, text))
     if head_lines is None:
         head_lines = head_size(line_count(lines))
-    best = best_lines(lines, prepare(admitted, slice_rows), k, head_lines=head_lines)
+    best = best_lines(lines, prepare(admitted, seed_rows), k, head_lines=head_lines)
     return show_results(admitted, best, lines)
 
 
@@ -303,6 +306,7 @@ def complete_indexed(
     lines: DataFrame,
     postings: DataFrame,
     vocabulary: DataFrame,
+    edges: DataFrame,
     queries: DataFrame,
     k: int = DEFAULT_K,
     *,
@@ -311,48 +315,47 @@ def complete_indexed(
     index_rows: int = INDEX_ROWS,
     word_buckets: int | None = None,
     block_lines: int | None = None,
-    slice_rows: int = seeding.SLICE_ROWS,
+    seed_rows: int = seeding.SEED_ROWS,
 ) -> DataFrame:
     """`complete` with the word index: rare queries read their candidate lines only.
 
-    A query is rare when the postings of the cheapest tokens of its two pieces lead to few
-    lines, so few that those of all queries together stay within `index_rows`. All other
-    queries share the scan.
+    The postings of the cheapest tokens of a query's two pieces name its candidate lines. The
+    queries with the fewest go this way, as long as they lead to no more than `index_rows`
+    lines together. All other queries share the scan.
     """
     if k <= 0:
         queries, k = queries.limit(0), 1
     admitted = materialize(admit(queries, text))
     distinct = admitted.select("query").distinct()
     pieces = materialize(word_halves(distinct))
-    chosen = choose_tokens(pieces, vocabulary)
+    chosen = choose_tokens(pieces, vocabulary, edges, word_buckets)
     # A piece that no token choice was made for occurs in no line and costs nothing.
-    costs = (
+    costs = materialize(
         pieces.join(chosen.choice, "pattern", "left")
         .groupBy("query")
         .agg(F.sum(F.coalesce("cost", F.lit(0))).alias("cost"))
     )
-    limit = index_rows // max(1, distinct.count())
+    limit = affordable(costs, index_rows)
     rare = materialize(costs.where(F.col("cost") <= limit).select("query"))
     candidates = candidate_lines(
         chosen.choice.join(
             pieces.join(rare, "query").select("pattern").distinct(), "pattern", "left_semi"
         ),
-        chosen.words,
+        vocabulary,
         postings,
         word_buckets,
     )
+    numbers = materialize(candidates.select("line_id").distinct())
     some_lines = materialize(
         fetch_lines(
-            lines.drop("original_sentence", "source_text", "offset"),
-            F.broadcast(candidates.select("line_id").distinct()),
-            block_lines,
+            lines.drop("original_sentence", "source_text", "offset"), F.broadcast(numbers), block_lines
         )
     )
-    by_index = best_lines(spread(some_lines), prepare(rare, slice_rows), k, head_lines=0)
+    by_index = best_lines(spread(some_lines), prepare(rare, seed_rows), k, head_lines=0)
     others = distinct.join(rare, "query", "left_anti")
     if head_lines is None:
         head_lines = head_size(line_count(lines))
-    by_scan = best_lines(lines, prepare(others, slice_rows), k, head_lines=head_lines)
+    by_scan = best_lines(lines, prepare(others, seed_rows), k, head_lines=head_lines)
     return show_results(admitted, by_index.unionByName(by_scan), lines, block_lines)
 
 
@@ -364,8 +367,21 @@ def best_scores(
     return hits.groupBy("query", *line_key).agg(F.max("score").alias("score"))
 
 
-def without_match(admitted: DataFrame, completions: DataFrame) -> DataFrame:
-    """Admitted queries that got no suggestion, with the message shown for them."""
-    return admitted.join(
-        completions.select("query").distinct(), "query", "left_anti"
-    ).withColumn("message", F.lit(NO_MATCHES))
+def matched_queries(lines: DataFrame, search: Search, *, head_lines: int) -> DataFrame:
+    """The queries that fit any line. Those found in the head are not looked for in the rest."""
+    if head_lines <= 0:
+        return one_edit_hits(lines, search).select("query").distinct()
+    early = materialize(one_edit_hits(first_lines(lines, head_lines), search).select("query").distinct())
+    rest = one_edit_hits(lines.where(F.col("line_id") >= head_lines), search.without(early))
+    return early.unionByName(rest.select("query").distinct())
+
+
+def without_match(
+    lines: DataFrame, queries: DataFrame, *, text: str = "query_text", head_lines: int | None = None
+) -> DataFrame:
+    """Admitted queries that fit no line, with the message shown for them. No line's text is fetched."""
+    admitted = materialize(admit(queries, text))
+    if head_lines is None:
+        head_lines = head_size(line_count(lines))
+    found = matched_queries(lines, prepare(admitted), head_lines=head_lines)
+    return admitted.join(found, "query", "left_anti").withColumn("message", F.lit(NO_MATCHES))

@@ -14,28 +14,23 @@ def find_containing(
     patterns: DataFrame,
     *,
     text: str = "normalized_sentence",
-    slice_rows: int = seeding.SLICE_ROWS,
+    seed_rows: int = seeding.SEED_ROWS,
 ) -> DataFrame:
     """Join `patterns` (column `pattern`) to the lines whose `text` contains them.
 
-    Returns the columns of `lines` plus `pattern`, each pair once. Empty patterns match
-    nothing. No shuffle of the lines: a pair is reported at the pattern's first place in
-    the line only, so there is nothing to de-duplicate afterwards.
+    Returns the columns of `lines` plus `pattern`, each pair of a row and a pattern once,
+    however often the row holds it. Empty patterns match nothing. Only pairs found are
+    shuffled, with the columns of their line: select those needed beforehand.
     """
     distinct = patterns.select("pattern").where(F.col("pattern") != "").distinct()
     seeds = materialize(seeding.choose_seeds(distinct, "pattern"))
-    slices = seeding.slices_of(seeds, "pattern", slice_rows)
+    measured = seeding.measure(seeds, "pattern", seed_rows)
     columns = lines.columns
-    if not slices.widths:
+    if not measured.widths:
         return lines.limit(0).withColumn("pattern", F.lit(""))
-
-    pieces = seeding.pieces_of(lines, text, slices.widths)
-
-    def search(part: DataFrame) -> DataFrame:
-        start = F.col("_pos") - F.col("seed_offset")
-        met = pieces.join(F.broadcast(part), F.col("_key") == F.col("seed_key"))
-        here = seeding.cut(start, F.length("pattern")) == F.col("pattern")
-        first = F.position(F.col("pattern"), F.col(text)) == start
-        return met.where(here & first).select(*columns, "pattern")
-
-    return seeding.per_slice(seeds, "pattern", slices, search)
+    # The number tells equal rows apart; pairs are made distinct by it, in time linear in the line.
+    rows = lines.withColumn("_line_row", F.monotonically_increasing_id())
+    met = seeding.meet(rows, text, seeds, "pattern", measured)
+    start = F.col("_pos") - F.col("seed_offset")
+    here = seeding.cut(start, F.length("pattern")) == F.col("pattern")
+    return met.where(here).select(*columns, "_line_row", "pattern").distinct().drop("_line_row")

@@ -49,19 +49,15 @@ def number_lines(lines: DataFrame) -> DataFrame:
     return number_rows(lines, LINE_ORDER, "line_id")
 
 
-def top_k(hits: DataFrame, k: int, *, tiers: int) -> DataFrame:
+def top_k(hits: DataFrame, k: int) -> DataFrame:
     """Best `k` lines per `query` from hits (query, line_id, score), with their `rank`.
 
-    Hits may name a line more than once. A line can hold at most `tiers` different scores,
-    so the best k lines all lie in the first `tiers * (k - 1) + 1` distinct (score, line)
-    keys. That bound is a dense_rank, which Spark also applies in every task before the
-    shuffle: however many lines a query fits, a task sends on only those keys. There is one
-    shuffle, on `query`.
+    Hits may name a line more than once. In a first step every line keeps its best score:
+    repeats go in the task that finds them, and what is left is dealt by query and line, so
+    that the lines of one query spread over all tasks (no shuffle at all where the lines were
+    dealt by `line_id`). In the second step each task sends on at most `k` lines of a query
+    (`row_number` is a limit that Spark applies before the shuffle on `query`).
     """
-    best_first = [F.desc("score"), "line_id"]
-    by_query = Window.partitionBy("query").orderBy(*best_first)
-    pruned = hits.withColumn("_place", F.dense_rank().over(by_query)).where(
-        F.col("_place") <= tiers * (k - 1) + 1
-    )
-    best = pruned.groupBy("query", "line_id").agg(F.max("score").alias("score"))
+    best = hits.groupBy("query", "line_id").agg(F.max("score").alias("score"))
+    by_query = Window.partitionBy("query").orderBy(F.desc("score"), "line_id")
     return best.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)

@@ -2,20 +2,19 @@
 
 A text longer than a few characters is looked up by one *seed*: a piece of it of a
 fixed width. Every line offers the pieces at all its positions; pieces and seeds meet
-in a hash join on a 64-bit key and the rest of the text is then compared at the
-position the meeting gives. Work grows with the characters of the lines plus the
-meetings, not with lines times texts.
-
-The seeds are the broadcast side. `slices_of` measures them first and cuts them into
-as many slices as the size limit asks for; each slice is one more pass over the lines.
-A shuffle join instead would have to move every piece of every line.
+on a 64-bit key and the rest of the text is then compared at the position the meeting
+gives. Work grows with the characters of the lines plus the meetings, not with lines
+times texts.
+
+The lines are read once, however many texts there are. Few seeds are measured and
+broadcast. Of many seeds only a membership filter of fixed size is: pieces that it lets
+through are sent on, with as much of the line as their seeds could need, and meet the
+seeds in a salted shuffle join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +23,13 @@ SEED_WIDTHS = (1, 2, 3, 4, 6, 8)
 POSITION_RUN = 4096
 # About as many windows of a text are compared when its seed is chosen.
 WINDOWS = 8
-# Limits of one broadcast slice: rows, and characters of text they carry.
-SLICE_ROWS = 200_000
-SLICE_CHARS = 64_000_000
+# Seeds up to this many rows and characters of text are broadcast as they are.
+SEED_ROWS = 200_000
+SEED_CHARS = 64_000_000
+# Bits of the membership filter: at most a 64th as many rows of a few numbers are broadcast.
+FILTER_BITS = 1 << 26
+# Parts that the pieces of one key are dealt to.
+SALTS = 4
 
 
 def seed_width(length: Column) -> Column:
@@ -78,36 +81,24 @@ def choose_seeds(pieces: DataFrame, text: str) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Slices:
-    """How a table of texts is cut for broadcasting, and the seed widths it needs."""
+class Measured:
+    """Whether a table of seeds is small enough to broadcast, and the seed widths it needs."""
 
-    count: int
+    small: bool
     widths: tuple[int, ...]
 
 
-def slices_of(
-    seeds: DataFrame, text: str, slice_rows: int = SLICE_ROWS, slice_chars: int = SLICE_CHARS
-) -> Slices:
+def measure(
+    seeds: DataFrame, text: str, seed_rows: int = SEED_ROWS, seed_chars: int = SEED_CHARS
+) -> Measured:
     """Measure `seeds` (columns `text`, `seed_width`) with one small aggregate."""
-    measured = seeds.agg(
+    found = seeds.agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars"),
         F.collect_set("seed_width").alias("widths"),
     ).first()
-    count = max(1, -(-measured["rows"] // slice_rows), -(-measured["chars"] // slice_chars))
-    return Slices(count, tuple(sorted(measured["widths"])))
-
-
-def per_slice(
-    seeds: DataFrame, text: str, slices: Slices, search: Callable[[DataFrame], DataFrame]
-) -> DataFrame:
-    """Run `search` on each slice of the seeds and union the results."""
-    if slices.count == 1:
-        return search(seeds)
-    part = F.pmod(F.xxhash64(F.col(text)), F.lit(slices.count))
-    return reduce(
-        DataFrame.unionByName, [search(seeds.where(part == n)) for n in range(slices.count)]
-    )
+    small = found["rows"] <= seed_rows and found["chars"] <= seed_chars
+    return Measured(small, tuple(sorted(found["widths"])))
 
 
 def pieces_of(lines: DataFrame, text: str, widths: tuple[int, ...]) -> DataFrame:
@@ -146,3 +137,55 @@ def cut(start: Column, length: Column) -> Column:
     return F.when(
         start >= 1, F.substring(F.col("_bytes"), start, length).cast("string")
     )
+
+
+def meet(
+    lines: DataFrame, line_text: str, seeds: DataFrame, text: str, measured: Measured
+) -> DataFrame:
+    """Every place of a line where a seed of `seeds` may stand, with the seed's columns.
+
+    The lines' columns stay, and `_bytes` and `_pos` say where: a part of the line that is
+    wide enough for the seed's whole `text` with one character more on either side.
+    """
+    pieces = pieces_of(lines, line_text, measured.widths)
+    on_key = F.col("_key") == F.col("seed_key")
+    if measured.small:
+        return pieces.join(F.broadcast(seeds), on_key)
+    # In turn, so that no key and no place in a line decides.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    sent = _let_through(pieces, seeds, text).withColumn("_salt", salt)
+    dealt = seeds.withColumn("_seed_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = sent.join(dealt, on_key & (F.col("_salt") == F.col("_seed_salt")))
+    return met.drop("_salt", "_seed_salt")
+
+
+def _let_through(pieces: DataFrame, seeds: DataFrame, text: str) -> DataFrame:
+    """Pieces whose key may be a seed's; `_bytes` is cut to what those seeds could need.
+
+    One bit per key, 64 to a row. A bit set by other keys lets a piece through in vain and
+    never keeps one back.
+    """
+    bit = lambda key: F.pmod(F.col(key), F.lit(FILTER_BITS))
+    known = (
+        seeds.withColumn("_bit", bit("seed_key"))
+        .groupBy(F.expr("shiftright(_bit, 6)").alias("_word"))
+        .agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(_bit & 63 as int))")).alias("_bits"),
+            (F.max("seed_offset") + 1).alias("_before"),
+            (F.max(F.length(text) - F.col("seed_offset")) + 1).alias("_after"),
+        )
+    )
+    met = pieces.withColumn("_bit", bit("_key")).withColumn("_at", F.expr("shiftright(_bit, 6)"))
+    met = met.join(F.broadcast(known), F.col("_at") == F.col("_word")).where(
+        F.expr("shiftright(_bits, cast(_bit & 63 as int)) & 1L = 1L")
+    )
+    begin = F.greatest(F.lit(1), F.col("_pos") - F.col("_before"))
+    return (
+        met.withColumn("_begin", begin)
+        .withColumn(
+            "_bytes",
+            F.substring(F.col("_bytes"), F.col("_begin"), F.col("_pos") - F.col("_begin") + F.col("_after")),
+        )
+        .withColumn("_pos", F.col("_pos") - F.col("_begin") + 1)
+        .drop("_bit", "_at", "_word", "_bits", "_before", "_after", "_begin", "_length", "_width")
+    )

@@ -195,9 +195,10 @@ def line_ids(spark, sf_dir):
 
 def line_lookup(spark, sf_dir):
     """The last line of every source, fetched by its id."""
-    lines = views.numbered_lines(spark, sf_dir)
-    wanted = lines.groupBy("source_text").agg(F.max("line_id").alias("line_id")).select("line_id")
-    return lines.join(broadcast_if_small(wanted), "line_id").select(
+    index = views.index(spark, sf_dir)
+    last = index.lines.groupBy("source_text").agg(F.max("line_id").alias("line_id"))
+    wanted = broadcast_if_small(materialize(last.select("line_id")))
+    return index.fetch(wanted).select(
         "line_id", "original_sentence", "normalized_sentence", "source_text", "offset"
     )
 
@@ -220,10 +221,15 @@ def _lookup(kind):
     return run
 
 
+def edge_costs(spark, sf_dir):
+    """What every beginning and end of a word costs to look up."""
+    return views.index(spark, sf_dir).edges
+
+
 def token_choice(spark, sf_dir):
-    tokens = token_classes(spark, sf_dir)
-    words = materialize(postings.token_words(views.index(spark, sf_dir).vocabulary, tokens))
-    return postings.cheapest_tokens(tokens, words).select("pattern", "token", "cost")
+    index = views.index(spark, sf_dir)
+    costs = postings.token_costs(token_classes(spark, sf_dir), index.vocabulary, index.edges)
+    return postings.cheapest_tokens(costs).select("pattern", "token", "cost")
 
 
 def _halves(spark, sf_dir):
@@ -248,8 +254,8 @@ def pattern_search(spark, sf_dir):
 def contains_filter(spark, sf_dir):
     """Lines that contain a whole typed query, by one scan."""
     patterns = _distinct(spark, sf_dir).withColumnRenamed("query", "pattern")
-    found = containment.find_containing(views.lines(spark, sf_dir), patterns)
-    return found.select("pattern", "source_text", "offset")
+    lines = views.lines(spark, sf_dir).select("source_text", "offset", "normalized_sentence")
+    return containment.find_containing(lines, patterns).drop("normalized_sentence")
 
 
 def half_candidates(spark, sf_dir):
@@ -291,7 +297,7 @@ def fuzzy_topk_by_variants(spark, sf_dir):
     found = containment.find_containing(
         lines.select("line_id", "normalized_sentence"), variants.select("pattern")
     ).select("line_id", "pattern")
-    best = top_k(variants.join(found, "pattern"), K, tiers=scoring.MAX_TIERS)
+    best = top_k(variants.join(found, "pattern"), K)
     return completion.show_results(admitted, best, lines).select(*RESULT)
 
 
@@ -306,12 +312,9 @@ def rendered_results(spark, sf_dir):
 
 
 def no_match_queries(spark, sf_dir):
-    found = completion.complete(
-        views.numbered_lines(spark, sf_dir), views.queries(spark, sf_dir), K
-    )
-    return completion.without_match(_admitted(spark, sf_dir), found).select(
-        "query_id", "query", "message"
-    )
+    return completion.without_match(
+        views.numbered_lines(spark, sf_dir), views.queries(spark, sf_dir)
+    ).select("query_id", "query", "message")
 
 
 # Typos
@@ -499,6 +502,7 @@ QUERIES = {
     "lookup_prefix": _lookup("prefix"),
     "lookup_suffix": _lookup("suffix"),
     "lookup_infix": _lookup("infix"),
+    "edge_costs": edge_costs,
     "token_choice": token_choice,
     "pattern_search": pattern_search,
     "contains_filter": contains_filter,

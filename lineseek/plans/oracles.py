@@ -378,6 +378,15 @@ def statements() -> dict[str, str]:
         "lookup_prefix": lookup("prefix"),
         "lookup_suffix": lookup("suffix"),
         "lookup_infix": lookup("infix"),
+        "edge_costs": _with("vocabulary") + """
+        , cut as (
+          select df, word, unnest(range(1, least(length(word), 32) + 1)) as n
+          from vocabulary)
+        select 'whole' as token_class, word as edge, 1::bigint as words, df as cost from vocabulary
+        union all
+        select 'prefix', left(word, n), count(*), sum(df)::bigint from cut group by left(word, n)
+        union all
+        select 'suffix', right(word, n), count(*), sum(df)::bigint from cut group by right(word, n)""",
         "token_choice": _with("tokens", "token_words") + """
         , costs as (
           select pattern, token_pos, token, cost

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineseek.functions.text import normalize
-from lineseek.operators.postings import build_postings, build_vocabulary
+from lineseek.operators.postings import build_postings, build_vocabulary, edge_costs
 from lineseek.operators.ranking import number_lines
 from lineseek.runtime import materialize, spread
 from lineseek.sources.corpus import lines_of
@@ -48,7 +48,8 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     if key not in _indexes:
         numbered = numbered_lines(spark, sf_dir)
         entries = materialize(build_postings(numbered))
-        _indexes[key] = Index(numbered, entries, materialize(build_vocabulary(entries)))
+        words = materialize(build_vocabulary(entries))
+        _indexes[key] = Index(numbered, entries, words, materialize(edge_costs(words)))
     return _indexes[key]
 
 
