@@ -131,7 +131,8 @@ def token_costs(
     priced = edges.join(broadcast_if_small(wanted), keys).select(
         F.col("edge").alias("token"), "token_class", "words", "cost"
     )
-    long = _edge_words(vocabulary, distinct.where(~by_edge))
+    # Only words that are longer than an edge too can begin or end with such a token.
+    long = _edge_words(vocabulary.where(F.length("word") > EDGE_MOST), distinct.where(~by_edge))
     spelled = (
         long.unionByName(_infix_words(vocabulary, distinct))
         .groupBy("token", "token_class")
@@ -258,30 +259,25 @@ def search_patterns(
 ) -> DataFrame:
     """(pattern, line_id) for exactly the lines that contain each distinct `pattern`.
 
-    Patterns go over the postings of their cheapest token, the cheapest patterns first, as
-    long as these lead to no more than `index_rows` lines together. All other patterns share
-    one scan of the lines. The choice changes the work and not the result: the text decides
-    in both.
+    Where the postings of all patterns' cheapest tokens lead to no more than `index_rows`
+    lines together, only these are read. Otherwise the lines are scanned once, for all
+    patterns: what a scan costs hardly depends on how many look on. The choice changes the
+    work and not the result: the text decides in both.
     """
     chosen = choose_tokens(patterns, vocabulary, edges, word_buckets)
-    limit = affordable(chosen.choice, index_rows)
-    rare = chosen.choice.where(F.col("cost") <= limit)
-    candidates = materialize(candidate_lines(rare, vocabulary, postings, word_buckets))
+    blank = tokenless(chosen.patterns)
+    light = lines.drop("original_sentence", "source_text", "offset")
+    needed = chosen.choice.agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0]
+    if needed > index_rows or blank.limit(1).count():
+        # Patterns with a token that stands in no word are left out in both ways.
+        scanned = chosen.choice.select("pattern").unionByName(blank)
+        return find_containing(lines.select("line_id", "normalized_sentence"), scanned).select("pattern", "line_id")
+    candidates = materialize(candidate_lines(chosen.choice, vocabulary, postings, word_buckets))
     # At most `index_rows` numbers are broadcast; patterns stay where they are.
-    found = fetch_lines(
-        lines.drop("original_sentence", "source_text", "offset"),
-        F.broadcast(candidates.select("line_id").distinct()),
-        block_lines,
-    )
-    by_index = (
+    numbers = materialize(candidates.select("line_id").distinct())
+    found = fetch_lines(light, F.broadcast(numbers), block_lines)
+    return (
         candidates.join(found, "line_id")
         .where(F.contains("normalized_sentence", "pattern"))
         .select("pattern", "line_id")
     )
-    scanned = (
-        chosen.choice.where(F.col("cost") > limit)
-        .select("pattern")
-        .unionByName(tokenless(chosen.patterns))
-    )
-    by_scan = find_containing(lines.select("line_id", "normalized_sentence"), scanned)
-    return by_index.unionByName(by_scan.select("pattern", "line_id"))
