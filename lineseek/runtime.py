@@ -40,7 +40,15 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_path = path
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` stored, once nothing is read from them any more."""
+    for table in tables:
+        remove_path(table.sparkSession, table.stored_path)
 
 
 def spread(df: DataFrame) -> DataFrame:
