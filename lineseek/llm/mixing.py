@@ -175,16 +175,27 @@ def mix_counts(docs: DataFrame) -> DataFrame:
     )
 
 
+def _mixed(docs: DataFrame, shards: int) -> DataFrame:
+    """A row per drawn document: all its columns in `_all`, and its `_shard` and `_order`."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all")
+    rows, _ = dealt(docs.select("doc_id", "text", "source", row), ["_all"], shards)
+    return rows.withColumn("_d", F.explode("_draws")).select("_all", "_d._shard", "_d._order")
+
+
 def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The mixed corpus: a row per drawn document, all columns, with `_shard` and `_order`.
 
-    Sorting a shard by `_order` is its local shuffle.
+    Sorting a shard by `_order` is its local shuffle. Where `docs` has columns of these
+    names, the two get a further `_` before.
     """
-    rows, _ = dealt(docs, [c for c in docs.columns if c != "source"], shards)
-    out = rows.withColumn("_d", F.explode("_draws"))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "_d._shard", "_d._order")
+    names = {}
+    for name in ("_shard", "_order"):
+        names[name] = name
+        while names[name].lower() in {c.lower() for c in docs.columns}:
+            names[name] = f"_{names[name]}"
+    return _mixed(docs, shards).select("_all.*", *(F.col(old).alias(new) for old, new in names.items()))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus with the columns of `docs` only, shard after shard, each in its shuffled order."""
-    return mix(docs).orderBy("_shard", "_order").select(*(f"`{c}`" for c in docs.columns))
+    return _mixed(docs, SHARDS).orderBy("_shard", "_order").select("_all.*")

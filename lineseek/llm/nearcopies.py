@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lineseek.llm import simhash
 from lineseek.llm.common import WORD_BYTES, row_key
 from lineseek.llm.components import components
-from lineseek.runtime import broadcast_if_small, materialize
+from lineseek.runtime import broadcast_if_small, materialize, release
 
 SHINGLE = 5
 # The least similarity as a fraction, so that no rounding decides.
@@ -136,15 +136,38 @@ def all_pairs(named: DataFrame) -> DataFrame:
     return both.select(F.col("rid").alias("a"), "b").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (src, dst) whose sets are similar, by exact comparison."""
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (src, dst) whose sets are similar, by exact comparison.
+
+    Only the texts of these pairs are read again; their sets are dealt out once, by `rid`,
+    for both ends of the pairs.
+    """
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
 
     @F.pandas_udf("boolean")
     def judge(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(left, right)], dtype=bool)
 
+    ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+    wanted = materialize(reps.join(ends, "rid", "left_semi").select("rid", F.col("row").alias("_row")))
+    texts = docs.select("_row", "text").join(broadcast_if_small(wanted), "_row")
+    # Rows alike in id and text stand for one set.
+    sets = texts.select("rid", packed("text").alias("own")).dropDuplicates(["rid"])
     one, two = (sets.select(F.col("rid").alias(x), F.col("own").alias(f"_{x}")) for x in ("a", "b"))
-    return pairs.join(one, "a").join(two, "b").where(judge("_a", "_b")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    judged = pairs.join(one, "a").join(two, "b").where(judge("_a", "_b"))
+    out = materialize(judged.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    release(wanted)
+    return out
+
+
+def shared_members(reps: DataFrame) -> DataFrame:
+    """(h, rid, n): the buckets of prefix shingles that hold several sets. One shuffle serves the count and the members."""
+    dealt = reps.select("rid", "n", F.explode("head").alias("h")).repartition("h")
+    several = dealt.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    return materialize(dealt.join(several, "h", "left_semi"))
 
 
 def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -152,22 +175,11 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     Similar sets share a shingle of their prefixes, so they meet in its bucket. Members are
     first compared with a leader, in turns, then in all pairs that are not linked by then: a
-    group of near copies costs its size, not its square.
+    group of near copies costs its size, not its square. Steps are deleted once used.
     """
-    buckets = reps.select("rid", "n", F.explode("head").alias("h"))
-    shared = buckets.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    members = materialize(buckets.join(shared, "h", "left_semi"))
+    members = shared_members(reps)
     tried = materialize(ordered(fingerprint_pairs(reps).union(star_pairs(members.withColumn("label", F.col("rid")), 0))))
-    wanted = members.select("rid").union(tried.select("a")).union(tried.select("b")).distinct()
-    wanted = materialize(reps.join(wanted, "rid", "left_semi").select("rid", F.col("row").alias("_row")))
-
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
-
-    sets = docs.select("_row", "text").join(broadcast_if_small(wanted), "_row").select("rid", packed("text").alias("own"))
-    sets = materialize(sets.dropDuplicates(["rid"]))
-    found = materialize(verified(tried, sets))
+    found = verified(tried, docs, reps)
     turn, fresh = 1, True
     while True:
         labels = components(found).select(F.col("node").alias("rid"), "component")
@@ -178,14 +190,17 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
         squares = squares.groupBy("h").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p"), F.sum("c").alias("c"))
         left, rows = squares.agg(F.sum("p") / 2, F.sum("c")).first()
         if not left:
+            release(members, named)
             return labels
         last = not fresh or left <= PAIRS_PER_MEMBER * rows
         pairs = all_pairs(named) if last else star_pairs(named, turn)
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
-        more = materialize(verified(pairs, sets))
+        release(named)
+        more = verified(pairs, docs, reps)
         fresh = bool(more.take(1))
         found = found.union(more)
         if last:
+            release(members)
             return components(found).select(F.col("node").alias("rid"), "component") if fresh else labels
         tried, turn = tried.union(pairs), turn + 1
 
@@ -193,15 +208,22 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of every group linked at the similarity, with all columns: the first by doc_id, then by text.
 
-    Texts without words are copies of each other. Null ids come last. An empty table returns
-    no rows.
+    Texts without words are copies of each other. Null ids come last. Columns may have any
+    names. An empty table returns no rows.
     """
-    rows = docs.withColumn("_row", row_key(F.col("doc_id"), F.col("text")))
+    all_columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all")
+    rows = docs.select("doc_id", "text", all_columns, row_key(F.col("doc_id"), F.col("text")).alias("_row"))
     prints = materialize(signatures(rows.select("doc_id", "text", "_row")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("v"), "doc_id", "_row")).alias("best")
     reps = prints.groupBy("whole").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("head").alias("head"))
     reps = materialize(reps.select("best", F.col("best._row").alias("row"), "n", "fp", "head", F.monotonically_increasing_id().alias("rid")))
+    # Rows alike in id and text, of which one is left.
+    repeated = materialize(prints.groupBy("_row").agg(F.count("*").alias("c")).where("c > 1").select("_row", F.lit(True).alias("_again")))
+    release(prints)
     named = reps.select("rid", "best").join(link(rows, reps), "rid", "left").withColumn("root", F.coalesce("component", "rid"))
-    best = named.groupBy("root").agg(F.min("best").alias("b")).select(F.col("b._row").alias("_best"))
-    kept = rows.join(best, F.col("_row") == F.col("_best"), "left_semi")
-    return kept.dropDuplicates(["_row"]).select(*(f"`{c}`" for c in docs.columns))
+    best = named.groupBy("root").agg(F.min("best").alias("b")).select(F.col("b._row").alias("_row"))
+    best = materialize(best.join(repeated, "_row", "left"))
+    release(reps, repeated)
+    kept = rows.select("_all", "_row").join(broadcast_if_small(best), "_row")
+    once, again = kept.where("_again is null"), kept.where("_again").dropDuplicates(["_row"])
+    return once.select("_all.*").union(again.select("_all.*"))

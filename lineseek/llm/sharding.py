@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineseek.llm.common import row_key, whole
-from lineseek.runtime import materialize
+from lineseek.llm.common import join_counted, row_key, whole
+from lineseek.runtime import broadcast_if_small, materialize
 
 SHARDS = 8
 PROBES = 15
@@ -17,9 +17,27 @@ PART_ROWS = 20_000
 MOST_PART_BITS = 16
 
 
-def key(doc_id: Column, text: Column) -> Column:
-    """Sort key: spreads copies of a text, is the same for rows equal in id and text."""
-    return F.xxhash64(row_key(doc_id, text))
+def keyed(rows: DataFrame) -> DataFrame:
+    """Add `_key` to stored rows with `_same` (equal for rows alike in id and text) and `_uid`.
+
+    The sort key is a hash of `_same` and of a number, from 0, that tells rows alike apart.
+    Such rows are numbered from their counts in each partition of `_uid`, so that no task
+    sees more of a group than one partition held; reruns give the same keys.
+    """
+    several = materialize(rows.groupBy("_same").agg(F.count("*").alias("_uses")).where("_uses > 1"))
+    mark = join_counted(rows, several.withColumn("_one", F.lit(True)), "_same", "_uses")
+    part = F.shiftright("_uid", 33).alias("_p")
+    alike = materialize(mark.select(*rows.columns, part))
+    counts = alike.groupBy("_same", "_p").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("_same").orderBy("_p")) - F.col("_c")
+    starts = counts.select("_same", "_p", before.alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_same", "_p").orderBy("_uid")) - 1
+    numbered_ = alike.withColumn("_own", own).join(starts, ["_same", "_p"])
+    single = rows.join(broadcast_if_small(several.select("_same")), "_same", "left_anti")
+    key_of = lambda number: F.xxhash64("_same", number.cast("long"))
+    return single.withColumn("_key", key_of(F.lit(0))).unionByName(
+        numbered_.withColumn("_key", key_of(F.col("_start") + F.col("_own"))).select(*rows.columns, "_key")
+    )
 
 
 def bytes_of(text: Column) -> Column:
@@ -101,39 +119,48 @@ def numbered(placed: DataFrame, n_rows: int) -> DataFrame:
     joined = placed.withColumn("_own", F.row_number().over(own)).join(
         F.broadcast(starts), (F.col("shard") == F.col("_s")) & (F.col("_part") == F.col("_p"))
     )
-    return joined.withColumn("slot", (F.col("_start") + F.col("_own") - 1).cast("int"))
+    return joined.withColumn("slot", (F.col("_start") + F.col("_own") - 1).cast("long"))
 
 
-def assign(docs: DataFrame, keep: list[Column], shards: int = SHARDS) -> DataFrame:
-    keyed = key(F.col("doc_id"), F.col("text"))
-    keys = materialize(docs.select(keyed.alias("key"), bytes_of(F.col("text")).alias("size")))
-    cuts = splitters(keys, shards)
-    rows = docs.select(*keep, keyed.alias("_key"))
-    return numbered(rows.withColumn("shard", slot_of(F.col("_key"), cuts).cast("int")), keys.count())
+def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Stored `rows` with `_key` and `size`, given their `shard` and `slot`."""
+    cuts = splitters(rows.select(F.col("_key").alias("key"), "size"), shards)
+    return numbered(rows.withColumn("shard", slot_of(F.col("_key"), cuts).cast("int")), rows.count())
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Return doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
     The law is `bytes`. A null text has size 1 and the checksum of no bytes. Copies of a
-    text with other ids spread over all shards; rows equal in id and text too stay in one.
-    Empty tables return no rows.
+    text spread over all shards, also rows alike in id and text. Empty tables return no rows.
     """
     text = F.col("text")
-    keep = [F.col("doc_id"), bytes_of(text).alias("size"), F.crc32(whole(text).cast("binary")).alias("text_crc32")]
-    return assign(docs, keep, shards).select(
+    crc = F.crc32(whole(text).cast("binary")).alias("text_crc32")
+    light = docs.select("doc_id", bytes_of(text).alias("size"), crc, row_key(F.col("doc_id"), text).alias("_same"))
+    light = materialize(light.withColumn("_uid", F.monotonically_increasing_id()))
+    return assign(materialize(keyed(light).drop("_same", "_uid")), shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
 def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """All columns of `docs`, with `shard_id` and `shard_slot`; names taken already get a `_` before."""
+    """All columns of `docs`, with `shard_id` and `shard_slot`; names taken already get a `_` before.
+
+    Keys, cuts and slots are worked out on light rows; the documents are then moved once, to
+    their shard's parts, in slot order. Copies of a document lie anywhere in any shard.
+    """
     names = {}
     for name in ("shard_id", "shard_slot"):
         taken = {c.lower() for c in docs.columns}
         names[name] = name
         while names[name].lower() in taken:
             names[name] = f"_{names[name]}"
-    inner = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    out = assign(inner, [F.col("_row")], shards)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    same = row_key(F.col("doc_id"), F.col("text")).alias("_same")
+    inner = docs.select(row, bytes_of(F.col("text")).alias("size"), same)
+    inner = materialize(inner.withColumn("_uid", F.monotonically_increasing_id()))
+    light = materialize(keyed(inner.select("_same", "_uid", "size")))
+    placed = materialize(assign(light, shards).select("_uid", "shard", "slot"))
+    out = inner.select("_uid", "_row").join(broadcast_if_small(placed), "_uid")
+    out = out.repartition("shard", F.expr(f"slot div {PART_ROWS}")).sortWithinPartitions("shard", "slot")
     return out.select("_row.*", F.col("shard").alias(names["shard_id"]), F.col("slot").alias(names["shard_slot"]))

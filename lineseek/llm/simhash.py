@@ -148,11 +148,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of every component, with all columns: the first by doc_id, then by text."""
-    keyed = classes(docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("_row")), ["_row"])
+    """One row of every component, with all columns, whatever their names: the first by doc_id, then by text."""
+    all_columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all")
+    rows = docs.select("doc_id", "text", all_columns, row_key(F.col("doc_id"), F.col("text")).alias("_row"))
+    keyed = classes(rows.select("doc_id", "text", "_row"), ["_row"])
     best = keyed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("b"))
     best = best.select(F.col("b._row").alias("_best"))
-    kept = docs.withColumn("_row", row_key(F.col("doc_id"), F.col("text"))).join(
-        best, F.col("_row") == F.col("_best"), "left_semi"
-    )
-    return kept.dropDuplicates(["_row"]).select(*(f"`{c}`" for c in docs.columns))
+    kept = rows.select("_all", "_row").join(best, F.col("_row") == F.col("_best"), "left_semi")
+    return kept.dropDuplicates(["_row"]).select("_all.*")

@@ -381,6 +381,42 @@ def test_sharding(real, docs):
     assert out.columns[: len(docs.columns)] == docs.columns and out.count() == docs.count()
 
 
+@pytest.mark.parametrize("files", [2, 7])
+def test_rows_alike_in_all_columns_spread_over_the_shards(spark, files):
+    """400 of 1,000 rows have no id and one text; the law holds, and does not depend on how the rows lie."""
+    rows = [(None, "y" * 14, None, None, None, None, None, None)] * 400
+    rows += [(k, "z" * (k % 20), None, None, None, None, None, None) for k in range(600)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(files)
+    out = sharding.shard(table)
+    assert dict(out.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    got = out.collect()
+    sizes, alike = Counter(), Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        alike[r["shard"]] += r["doc_id"] is None
+    assert sum(sizes.values()) == sum(len(r[1]) + 1 for r in rows) and max(sizes.values()) - min(sizes.values()) <= 40
+    assert len(alike) == 8 and min(alike.values()) > 20
+    again = sharding.shard(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    assert Counter(map(tuple, again.collect())) == Counter(map(tuple, got))
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    """Names that the operators use themselves; every column has a value of its own to be known by."""
+    names = ["_row", "_all", "_size", "_place", "_bs", "_block", "_shard", "_order", "_key", "_uid", "_same", "shard_id", "rid", "_best"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows = [(k, " ".join(word() for _ in range(30)), "en", "s", 1, *(f"{n}{k}" for n in names)) for k in range(12)]
+    table = spark.createDataFrame(rows, schema)
+    plain = table.columns
+    for out in (nearcopies.drop_near_copies(table), simhash.drop_near_duplicates(table), sharding.sharded_documents(table)):
+        assert out.columns[: len(plain)] == plain
+        assert sorted(map(tuple, out.select(*plain).collect())) == rows
+    for out in (mixing.mix(table), mixing.mixed_documents(table)):
+        assert out.columns[: len(plain)] == plain
+        assert set(map(tuple, out.select(*plain).collect())) == set(rows)
+
+
 def test_parts_of_a_shard_join_up(real, monkeypatch):
     whole = as_counter(sharding.shard(real), "doc_id", "shard", "slot")
     monkeypatch.setattr(sharding, "PART_ROWS", 7)
@@ -425,5 +461,9 @@ def test_pipeline(spark, real):
         docs = out
     assert {"shard_id", "shard_slot"} <= set(docs.columns)
     assert docs.count() == docs.select("shard_id", "shard_slot").distinct().count() > 0
+    # Documents drawn several times do not lie next to each other.
+    last = docs.orderBy("shard_id", "shard_slot").select("shard_id", "doc_id").collect()
+    copies = len(last) - len({r["doc_id"] for r in last})
+    assert copies > 0 and sum(a == b for a, b in zip(last, last[1:])) <= 0.1 * copies
     assert docs.select("doc_id").subtract(real.select("doc_id")).count() == 0
     assert as_counter(corpus_pipeline.run(spark, SF_DIR), "doc_id", "shard_id") == as_counter(docs, "doc_id", "shard_id")
