@@ -58,6 +58,25 @@ def fingerprint(own: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
 
 
+def cells_of(own: np.ndarray) -> bytes:
+    """How many shingles lie in each of a power of two of equal ranges of hashes, two to four on average; 255 means as many or more."""
+    bits = max(0, (len(own) // 2).bit_length() - 1)
+    if not bits:
+        return bytes([min(len(own), 255)])
+    counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, n: int, m: int) -> bool:
+    """False only where the cells alone show that too few shingles can be shared."""
+    counts = [np.frombuffer(x, np.uint8).astype(np.int64) for x in (a, b)]
+    counts = [np.where(c == 255, 1 << 40, c) for c in counts]
+    size = min(map(len, counts))
+    one, two = (c.reshape(size, -1).sum(axis=1) for c in counts)
+    shared = min(int(np.minimum(one, two).sum()), n, m)
+    return OUT_OF * shared >= SIMILAR * (n + m - shared)
+
+
 def prefix_length(n: int) -> int:
     """So many first shingles, in any one order, that similar sets share one of them."""
     return n - -(-SIMILAR * n // OUT_OF) + 1 if n else 0
@@ -84,10 +103,10 @@ def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, _row, and of the shingle set: `whole` (128 bits), n, fp, and the prefix, rarest first."""
+    """doc_id, _row, and of the shingle set: `whole` (128 bits), n, fp, cells, and the prefix, rarest first."""
     shared = docs.sparkSession.sparkContext.broadcast(common(docs))
 
-    @F.pandas_udf("whole binary, n int, fp long, head array<long>")
+    @F.pandas_udf("whole binary, n int, fp long, cells binary, head array<long>")
     def sign(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, counts = shared.value
         for texts in series:
@@ -99,8 +118,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                     weight = np.where(known[at] == keys, counts[at], 0)
                 head = keys[np.lexsort((keys, weight))[: prefix_length(len(own))]]
-                out.append((hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), fingerprint(own), head))
-            yield pd.DataFrame(out, columns=["whole", "n", "fp", "head"]).astype({"n": "int32", "fp": "int64"})
+                out.append((hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), fingerprint(own), cells_of(own), head))
+            yield pd.DataFrame(out, columns=["whole", "n", "fp", "cells", "head"]).astype({"n": "int32", "fp": "int64"})
 
     return docs.select("doc_id", "_row", sign("text").alias("s")).select("doc_id", "_row", "s.*")
 
@@ -139,10 +158,14 @@ def all_pairs(named: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (src, dst) whose sets are similar, by exact comparison.
 
-    Only the texts of these pairs are read again; their sets are dealt out once, by `rid`,
-    for both ends of the pairs.
+    Pairs that counts of a few bytes a set rule out go first. Only the texts of the others are
+    read again; their sets are dealt out once, by `rid`, for both ends of the pairs.
     """
 
+    @F.pandas_udf("boolean")
+    def possible(left: pd.Series, right: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([may_be_similar(*row) for row in zip(left, right, n, m)], dtype=bool)
+
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
@@ -151,6 +174,9 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     def judge(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(left, right)], dtype=bool)
 
+    left, right = (reps.select(F.col("rid").alias(x), F.col("cells").alias(f"_c{x}"), F.col("n").alias(f"_n{x}")) for x in ("a", "b"))
+    near = pairs.join(left, "a").join(right, "b").where(possible("_ca", "_cb", "_na", "_nb"))
+    pairs = materialize(near.select("a", "b"))
     ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
     wanted = materialize(reps.join(ends, "rid", "left_semi").select("rid", F.col("row").alias("_row")))
     texts = docs.select("_row", "text").join(broadcast_if_small(wanted), "_row")
@@ -159,7 +185,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     one, two = (sets.select(F.col("rid").alias(x), F.col("own").alias(f"_{x}")) for x in ("a", "b"))
     judged = pairs.join(one, "a").join(two, "b").where(judge("_a", "_b"))
     out = materialize(judged.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    release(wanted)
+    release(wanted, pairs)
     return out
 
 
@@ -215,8 +241,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", all_columns, row_key(F.col("doc_id"), F.col("text")).alias("_row"))
     prints = materialize(signatures(rows.select("doc_id", "text", "_row")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("v"), "doc_id", "_row")).alias("best")
-    reps = prints.groupBy("whole").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("head").alias("head"))
-    reps = materialize(reps.select("best", F.col("best._row").alias("row"), "n", "fp", "head", F.monotonically_increasing_id().alias("rid")))
+    reps = prints.groupBy("whole").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("cells").alias("cells"), F.first("head").alias("head"))
+    reps = materialize(reps.select("best", F.col("best._row").alias("row"), "n", "fp", "cells", "head", F.monotonically_increasing_id().alias("rid")))
     # Rows alike in id and text, of which one is left.
     repeated = materialize(prints.groupBy("_row").agg(F.count("*").alias("c")).where("c > 1").select("_row", F.lit(True).alias("_again")))
     release(prints)

@@ -400,6 +400,23 @@ def test_rows_alike_in_all_columns_spread_over_the_shards(spark, files):
     assert Counter(map(tuple, again.collect())) == Counter(map(tuple, got))
 
 
+def test_cells_rule_out_no_similar_pair():
+    import numpy as np
+
+    rng, ruled_out = np.random.default_rng(3), 0
+    for n in [0, 1, 2, 3, 5, 17, 90, 90, 400, 400, 3000] * 8:
+        one = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        kept = one[rng.random(len(one)) < rng.choice([0.0, 0.7, 0.9, 0.97, 1.0])]
+        two = np.unique(np.concatenate([kept, rng.integers(0, 1 << 64, int(n * rng.choice([0, 0.05, 0.3, 1])), np.uint64)]))
+        said = nearcopies.may_be_similar(nearcopies.cells_of(one), nearcopies.cells_of(two), len(one), len(two))
+        assert said or not nearcopies.similar(one, two)
+        ruled_out += not said
+    assert ruled_out > 20
+    # Cells that are full say nothing.
+    full = np.arange(1000, dtype=np.uint64)
+    assert nearcopies.may_be_similar(nearcopies.cells_of(full), nearcopies.cells_of(full[:900]), 1000, 900)
+
+
 def test_columns_of_any_name_keep_their_values(spark):
     """Names that the operators use themselves; every column has a value of its own to be known by."""
     names = ["_row", "_all", "_size", "_place", "_bs", "_block", "_shard", "_order", "_key", "_uid", "_same", "shard_id", "rid", "_best"]
