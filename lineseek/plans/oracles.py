@@ -309,11 +309,14 @@ def statements() -> dict[str, str]:
         f"{name} as materialized ({RELATIONS[name]})"
         for name in ("distinct_queries", "plan", "wildcards", "candidates", "best", "ranked")
     )
-    tree = _lines("""
+    def tree_of(text: str) -> str:
+        return _lines(f"""
         select source || '/' || doc_id % 16 as source_text,
-               string_agg(text || chr(10), '' order by doc_id) as text
+               string_agg({text} || chr(10), '' order by doc_id) as text
         from documents group by source, doc_id % 16""")
 
+    tree = tree_of("text")
+
     def lookup(kind: str) -> str:
         return f"""{_with("token_words")}
         select token, word, df from token_words where token_class = '{kind}'"""
@@ -322,6 +325,7 @@ def statements() -> dict[str, str]:
         "corpus_lines": _with("lines") + "select * from lines",
         "text_tree_scan": tree,
         "text_tree_splits": tree,
+        "lossy_text_tree": tree_of("left(text, 10) || chr(65533) || '|' || chr(65533) || '|' || substring(text, 11)"),
         "index_round_trip": topk,
         "typo_json": _with("typos") + "select typo, correction, frequency from typos",
         "corpus_stats": _with("postings") + """
