@@ -44,11 +44,11 @@ def corpus_lines(spark, sf_dir):
     return views.lines(spark, sf_dir)
 
 
-def text_tree_scan(spark, sf_dir, whole_file_bytes=corpus.WHOLE_FILE_BYTES, text=F.col("text")):
+def text_tree_scan(spark, sf_dir, whole_file_bytes=corpus.WHOLE_FILE_BYTES, text="text"):
     """Write the documents as a tree of text files, then read the tree."""
     root = _scratch(spark, "tree")
     documents = views.read(spark, sf_dir, "documents").select(
-        "source", (F.col("doc_id") % 16).alias("shelf"), "doc_id", text.alias("text")
+        "source", (F.col("doc_id") % 16).alias("shelf"), "doc_id", F.expr(text).alias("text")
     )
     (
         documents.repartition("source", "shelf")
@@ -68,10 +68,11 @@ def text_tree_scan(spark, sf_dir, whole_file_bytes=corpus.WHOLE_FILE_BYTES, text
 
 def lossy_text_tree(spark, sf_dir):
     """The tree with a byte that no UTF-8 text holds, and a character cut short, in every document."""
-    begin, rest = F.expr("left(text, 10)"), F.expr("substring(text, 11)")
-    binary = lambda c: c.cast("binary")
-    broken = F.concat(binary(begin), F.unhex(F.lit("FF")), binary(F.lit("|")), F.unhex(F.lit("E282")), binary(F.lit("|")), binary(rest))
-    return text_tree_scan(spark, sf_dir, text=broken.cast("string"))
+    broken = (
+        "concat(cast(left(text, 10) as binary), x'FF', cast('|' as binary), x'E282', cast('|' as binary),"
+        " cast(substring(text, 11) as binary))"
+    )
+    return text_tree_scan(spark, sf_dir, text=f"cast({broken} as string)")
 
 
 def text_tree_splits(spark, sf_dir):
