@@ -8,16 +8,15 @@ from lineseek.operators.ranking import number_lines, number_rows
 from lineseek.sources import corpus
 
 TREE = {
-    "example.txt": "".join(f"{n}: this is a demo.\n" for n in ("Alpha", "Beta", "Delta", "Gamma", "Omega")),
-    "root.txt": "Zebra arrives last.\n\n!!!\nMixed CASE stays Displayed.\n"
-    "Shared sentence across files.\nNumbers 123 survive.\n",
-    "nested/middle.txt": "Punctuation-heavy: commas, dots... and symbols!\nMiddle depth text.\n",
-    "nested/deep/leaf.txt": "Shared sentence across files.\nAn apple starts first.\nDeeply nested text.\n",
-    "ignored.md": "not loaded\n",
-    "upper.TXT": "not loaded either\n",
+    "menu.txt": "".join(f"{n}: served until noon.\n" for n in ("Soup", "Porridge", "Toast", "Eggs")),
+    "notes.txt": "Yarn comes by the metre.\n\n??\nUPPER and lower Stay.\nThe same note twice.\nRoom 42, floor 7.\n",
+    "shelf/list.txt": "Semi-colons; slashes/ and (brackets)!\nOn the shelf.\n",
+    "shelf/low/box.txt": "The same note twice.\nBuckets go below.\nUnder everything.\n",
+    "readme.md": "other suffix\n",
+    "upper.TXT": "suffix in capitals\n",
     "sub dir/a b+é%20.txt": "Odd name.\n",
-    "ends.txt": "  Keep surrounding spaces  \r\n!!!\nlone\rreturn\n\nNo final newline",
-    "bad.txt": b"valid first line\ninvalid: \xff byte\ncut \xe2\x82\nsurrogate \xed\xa0\x80 end\n",
+    "ends.txt": "   padded on both sides  \r\n***\nsingle\rreturn\n\nlast without end",
+    "bad.txt": b"a sound line\na stray \xff inside\ncut \xe2\x82\nsurrogate \xed\xa0\x80 end\n",
     "mark.txt": b"\xef\xbb\xbfMarked file\nsecond\n",
     "long.txt": "".join(f"Line number {i} of a longer file\n" + "\n" * (i % 3) for i in range(3000)),
 }
