@@ -23,14 +23,13 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Larger neighbours move to the smallest of the neighbourhood.
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct())
-        release(current)
+        large = large.where("u <> v").distinct()
         # Then smaller neighbours and the node itself do.
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("a"), "m").where("a <> m")
         small = small.select(F.col("a").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        current = materialize(small.distinct())
-        release(large)
+        before, current = current, materialize(small.distinct())
+        release(before)
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == summary:
             break

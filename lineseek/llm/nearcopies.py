@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineseek.llm import simhash
@@ -30,6 +30,8 @@ COMMON_ROWS = 3
 MOST_COMMON = 200_000
 # Pairs compared at once, for each member of a bucket.
 PAIRS_PER_MEMBER = 4
+# Leaders of a bucket in the second turn, and by how much they grow with each.
+LEADERS = 16
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,18 +143,38 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def star_pairs(named: DataFrame, turn: int) -> DataFrame:
-    """Each bucket's members with its leader of this turn."""
-    lead = named.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rid").alias("o"), "rid", "n", "label")).alias("l"))
-    both = named.join(lead, "h").where((F.col("label") != F.col("l.label")) & near_in_size(F.col("n"), F.col("l.n")))
+def star_pairs(named: DataFrame) -> DataFrame:
+    """Each bucket's members with one leader, chosen by hash."""
+    lead = named.groupBy("h").agg(F.min(F.struct(F.xxhash64("rid").alias("o"), "rid", "n")).alias("l"))
+    both = named.join(lead, "h").where((F.col("rid") != F.col("l.rid")) & near_in_size(F.col("n"), F.col("l.n")))
     return ordered(both.select(F.col("l.rid").alias("a"), F.col("rid").alias("b")))
 
 
+def hub_pairs(named: DataFrame, found: DataFrame, leaders: int) -> DataFrame:
+    """Each bucket's members with those of `leaders` members of other labels that have most links so far.
+
+    In a group of copies of one text the least changed ones are similar to most others, so few
+    leaders leave little to be compared.
+    """
+    ends = found.select(F.col("src").alias("rid")).union(found.select("dst"))
+    degree = ends.groupBy("rid").agg(F.count("*").alias("links"))
+    order = Window.partitionBy("h").orderBy(F.desc("links"), F.xxhash64("rid"), "rid")
+    lead = named.join(degree, "rid", "left").fillna(0, ["links"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= leaders)
+    return cross_labels(named, lead)
+
+
+def cross_labels(named: DataFrame, lead: DataFrame) -> DataFrame:
+    """Pairs of a member and a leader of one bucket that no chain links yet."""
+    lead = lead.select("h", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+    both = named.join(lead, "h").where((F.col("label") != F.col("other")) & near_in_size(F.col("n"), F.col("m")))
+    return ordered(both.select(F.col("rid").alias("a"), "b"))
+
+
 def all_pairs(named: DataFrame) -> DataFrame:
-    """All pairs of a bucket that no chain links yet."""
+    """All pairs of a bucket that no chain links yet, met from the side with the smaller label."""
     other = named.select("h", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    both = named.join(other, "h").where((F.col("rid") < F.col("b")) & (F.col("label") != F.col("other")) & near_in_size(F.col("n"), F.col("m")))
-    return both.select(F.col("rid").alias("a"), "b").distinct()
+    both = named.join(other, "h").where((F.col("label") < F.col("other")) & near_in_size(F.col("n"), F.col("m")))
+    return ordered(both.select(F.col("rid").alias("a"), "b"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -200,35 +222,50 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(rid, component): components of all similar pairs of `reps`, only those with a link.
 
     Similar sets share a shingle of their prefixes, so they meet in its bucket. Members are
-    first compared with a leader, in turns, then in all pairs that are not linked by then: a
-    group of near copies costs its size, not its square. Steps are deleted once used.
+    first compared with one leader, then in turns with LEADERS, LEADERS ** 2 .. of those with most
+    links, then in all pairs that are not linked by then: a group of near copies costs its size,
+    not its square, and turns grow with the logarithm of the largest bucket. Labels of earlier
+    turns are carried on, so later ones link labels only. Steps are deleted once used.
     """
     members = shared_members(reps)
-    tried = materialize(ordered(fingerprint_pairs(reps).union(star_pairs(members.withColumn("label", F.col("rid")), 0))))
+    tried = materialize(ordered(fingerprint_pairs(reps).union(star_pairs(members))))
     found = verified(tried, docs, reps)
-    turn, fresh = 1, True
+    labels = materialize(components(found).select(F.col("node").alias("rid"), "component"))
+    leaders = LEADERS
     while True:
-        labels = components(found).select(F.col("node").alias("rid"), "component")
         named = members.join(labels, "rid", "left").select("h", "rid", "n", F.coalesce("component", "rid").alias("label"))
         open_ = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
         named = materialize(named.join(open_, "h", "left_semi"))
         squares = named.groupBy("h", "label").agg(F.count("*").cast("double").alias("c"))
         squares = squares.groupBy("h").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p"), F.sum("c").alias("c"))
-        left, rows = squares.agg(F.sum("p") / 2, F.sum("c")).first()
+        left, rows, largest = squares.agg(F.sum("p") / 2, F.sum("c"), F.max("c")).first()
         if not left:
             release(members, named)
             return labels
-        last = not fresh or left <= PAIRS_PER_MEMBER * rows
-        pairs = all_pairs(named) if last else star_pairs(named, turn)
+        last = left <= PAIRS_PER_MEMBER * rows or leaders >= largest
+        pairs = all_pairs(named) if last else hub_pairs(named, found, leaders)
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
         release(named)
         more = verified(pairs, docs, reps)
-        fresh = bool(more.take(1))
-        found = found.union(more)
+        labels = relabelled(labels, more)
         if last:
             release(members)
-            return components(found).select(F.col("node").alias("rid"), "component") if fresh else labels
-        tried, turn = tried.union(pairs), turn + 1
+            return labels
+        found, tried, leaders = found.union(more), tried.union(pairs), leaders * LEADERS
+
+
+def relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """(rid, component) after further pairs: the labels that they tie become one."""
+    if not more.take(1):
+        return labels
+    named = more
+    for end in ("src", "dst"):
+        own = labels.select(F.col("rid").alias(end), F.col("component").alias("c"))
+        named = named.join(own, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    tied = components(named).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = labels.join(tied, "component", "left").select("rid", F.coalesce("to", "component").alias("component"))
+    fresh = tied.join(labels.select(F.col("rid").alias("component")), "component", "left_anti")
+    return materialize(old.union(fresh.select(F.col("component").alias("rid"), F.col("to").alias("component"))))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
