@@ -14,17 +14,49 @@ ASSIGN_LENGTH = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{24,}"
-# Character class of a candidate, window, least entropy in bits: first class that fits.
-CLASSES = ((r"^[0-9a-fA-F]+$", 16, 3.0), (r"^[A-Z0-9]+$|^[a-z0-9]+$", 20, 3.4), (r".", 24, 3.9))
-# Harmless shapes: identifiers, placeholders, names with a short number.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
+# Character class of a candidate, window and least length, least entropy in bits: first class that fits.
+CLASSES = (
+    (r"^[0-9a-fA-F]+$", 16, 3.0),
+    (r"^[A-Z0-9]+$|^[a-z0-9]+$", 20, 3.4),
+    (r"^[A-Za-z0-9]+$", 20, 3.8),
+    (r".", 24, 3.9),
+)
+# Harmless shapes: identifiers, names with a short number, numbers.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)example|sample|placeholder|dummy|changeme|xxxx|0123456|abcdefg",
-    r"^[A-Za-z_/-]+[0-9]{0,4}$",
+    r"^[^A-Za-z]+$",
 )
+NAME = r"^[A-Za-z+/_=-]+[0-9]{0,4}$"
+# A placeholder excuses the part it stands in, between delimiters; a longer part holds one by chance.
+PLACEHOLDER = r"(?i)(?<![a-z0-9])[a-z0-9]{0,24}(?:example|sample|placeholder|dummy|changeme|xxxx|0123456|abcdefg)[a-z0-9]{0,24}(?![a-z0-9])"
 KINDS = ("assign", "access", "hex", "entropy")
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
+# Matches scanned at once, and characters of a candidate: arrays and strings that grow stay this short.
+GROUP = 512
+PIECE = 256
+
+
+def running(items: Column, zero: Column, advance, emit, kind: str) -> Column:
+    """emit(state, item) of every item, an array of `kind`, where advance(state, item) gives the next one's state.
+
+    The states at the heads of groups come first, so that no array grows with every item.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    heads = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(GROUP))).otherwise(F.array().cast("array<int>"))
+
+    def scan(groups: Column) -> Column:
+        states = F.aggregate(
+            groups,
+            F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda s, g: F.struct(F.aggregate(g, s["at"], advance).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+            lambda s: s["out"],
+        )
+        step = lambda s, x: F.struct(advance(s["at"], x).alias("at"), F.concat(s["out"], F.array(emit(s["at"], x).cast(kind))).alias("out"))
+        inside = lambda at: lambda g, i: F.aggregate(g, F.struct(F.get(at, i).alias("at"), none.alias("out")), step, lambda s: s["out"])
+        return let(states, lambda at: F.flatten(F.transform(groups, inside(at))))
+
+    return let(F.transform(heads, lambda k: F.slice(items, k, F.lit(GROUP))), scan)
 
 
 def spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
@@ -35,33 +67,28 @@ def spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern)
-    rank = KINDS.index(kind)
-    none = F.array().cast(f"array<{SPAN}>")
     last = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if keep else found
+    zipped = F.zip_with(
+        F.zip_with(between, found, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h"))),
+        last,
+        lambda p, g: F.struct(p["g"].alias("g"), p["h"].alias("h"), g.alias("last")),
+    )
 
-    def place(parts: Column) -> Column:
-        zipped = F.zip_with(
-            F.zip_with(parts["gaps"], parts["hits"], lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h"))),
-            parts["last"],
-            lambda p, g: F.struct(p["g"].alias("g"), p["h"].alias("h"), g.alias("last")),
-        )
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-        def step(state: Column, one: Column) -> Column:
-            begin = state["at"] + one["g"]
-            end = begin + F.length(F.coalesce(one["h"], F.lit("")))
-            span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
-            good = one["h"].isNotNull() & (keep(one["last"]) if keep else F.lit(True))
-            return F.struct(end.alias("at"), F.when(good, F.concat(state["out"], F.array(span.cast(SPAN)))).otherwise(state["out"]).alias("out"))
+    def emit(at: Column, one: Column) -> Column:
+        begin = at + one["g"]
+        end = begin + F.length(one["h"])
+        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
+        return F.when(one["h"].isNotNull() & (keep(one["last"]) if keep else F.lit(True)), span)
 
-        return F.aggregate(zipped, start, step, lambda s: s["out"])
+    def advance(at: Column, one: Column) -> Column:
+        return at + one["g"] + F.coalesce(F.length(one["h"]), F.lit(0))
 
-    parts = F.struct(between.alias("gaps"), found.alias("hits"), last.alias("last"))
-    return F.when(text.rlike(pattern), let(parts, place)).otherwise(none)
+    placed = let(zipped, lambda items: F.filter(running(items, F.lit(0), advance, emit, SPAN), lambda s: s.isNotNull()))
+    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def peak_entropy(text: Column, window: int) -> Column:
-    """The highest Shannon entropy, in bits, of a window of a candidate.
+def peak_in_piece(text: Column, window: int) -> Column:
+    """The highest Shannon entropy, in bits, of a window of a short text.
 
     With counts c of the characters it is log2(w) - sum(c * log2(c)) / w. Moving the window
     by one changes two counts, so the sum is carried on.
@@ -86,16 +113,42 @@ def peak_entropy(text: Column, window: int) -> Column:
     return F.log2(F.lit(float(window))) - lowest / window
 
 
+def peak_entropy(text: Column, window: int) -> Column:
+    """The highest entropy of a window of a candidate, 0 if it is shorter than the window.
+
+    Pieces of bounded length, each with the characters that its last windows need, keep the
+    work in proportion to the candidate.
+    """
+
+    def best(cut: Column) -> Column:
+        more = lambda i: F.coalesce(F.substring(F.get(cut, i + 1), 1, window - 1), F.lit(""))
+        pieces = F.filter(F.transform(cut, lambda c, i: F.concat(c, more(i))), lambda p: F.length(p) >= window)
+        return F.coalesce(F.array_max(F.transform(pieces, lambda p: peak_in_piece(p, window))), F.lit(0.0))
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), best)
+
+
 def suspicious(text: Column) -> Column:
-    # Paths of short lower-case names are harmless too.
-    allowed = text.rlike("^[a-z0-9_/-]+$") & text.contains("/") & ~text.rlike("[^/]{13,}")
-    for pattern in ALLOWED:
-        allowed = allowed | text.rlike(pattern)
-    verdict = None
-    for shape, window, least in CLASSES:
-        fits, high = text.rlike(shape), peak_entropy(text, window) >= least
-        verdict = F.when(fits, high) if verdict is None else verdict.when(fits, high)
-    return F.when(text.isNull() | allowed, False).otherwise(verdict.otherwise(False))
+    """Whether a candidate, without parts that hold a placeholder, reaches its class's entropy.
+
+    Letters with at most four digits behind them are a name, unless a quarter of them are
+    capitals and a quarter are not.
+    """
+
+    def judged(rest: Column) -> Column:
+        size, small, capital = F.length(rest), F.length(F.regexp_replace(rest, "[^a-z]+", "")), F.length(F.regexp_replace(rest, "[^A-Z]+", ""))
+        # Paths of short lower-case names are harmless too.
+        allowed = rest.rlike("^[a-z0-9_/-]+$") & rest.contains("/") & ~rest.rlike("[^/]{13,}")
+        allowed = allowed | (rest.rlike(NAME) & ((4 * small < size) | (4 * capital < size)))
+        for pattern in ALLOWED:
+            allowed = allowed | rest.rlike(pattern)
+        verdict = None
+        for shape, window, least in CLASSES:
+            fits, high = rest.rlike(shape), peak_entropy(rest, window) >= least
+            verdict = F.when(fits, high) if verdict is None else verdict.when(fits, high)
+        return F.when(allowed, False).otherwise(verdict.otherwise(False))
+
+    return F.when(text.isNull(), False).otherwise(let(F.regexp_replace(text, PLACEHOLDER, ""), judged))
 
 
 def rendered(found: Column) -> Column:
@@ -106,7 +159,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """Return doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy of every whole text.
 
     A null or empty text has no spans, and the hash is that of the empty text. Entropy
-    spans which lie in a base span are left out. Repeated rows are answered each.
+    spans that lie wholly in a base span are left out. Repeated rows are answered each. Work
+    grows with the length of a text and the number of its matches.
     """
     text = whole(F.col("text"))
     base = docs.select(
@@ -117,8 +171,7 @@ def scan(docs: DataFrame) -> DataFrame:
         candidate_spans(text).alias("_e"),
     )
     base = base.withColumn("_base", F.array_sort(F.concat("_a", "_k", "_x")))
-    fresh = F.filter("_e", lambda e: ~F.exists("_base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    base = base.withColumn("_new", fresh)
+    base = base.withColumn("_new", F.when(F.size("_e") > 0, outside("_base", "_e")).otherwise(F.col("_e")))
     return base.select(
         "doc_id",
         F.size("_a").cast("long").alias("n_assign"),
@@ -130,6 +183,14 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def outside(base: str, found: str) -> Column:
+    """The `found` spans that no `base` span contains: none that begins no later reaches as far."""
+    fresh = lambda reach, s: F.when((s["rank"] == KINDS.index("entropy")) & (s["end"] > reach), s)
+    reach = lambda reach, s: F.when(s["rank"] < KINDS.index("entropy"), F.greatest(reach, s["end"])).otherwise(reach)
+    kept = lambda items: F.filter(running(items, F.lit(0), reach, fresh, SPAN), lambda s: s.isNotNull())
+    return let(F.array_sort(F.concat(base, found)), kept)
+
+
 def candidate_spans(text: Column) -> Column:
     """Candidate strings whose class's entropy is reached and that no allowed shape explains."""
     return spans(text, f"()({CANDIDATE})", "entropy", suspicious)

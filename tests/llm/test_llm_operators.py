@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -283,6 +284,7 @@ def test_pipeline_drops_every_near_copy(spark, docs, empty, monkeypatch):
     made = spark.createDataFrame(near_copy_rows(), SCHEMA).repartition(3)
     for table, pairs_at_once in ((made, 0), (made.union(docs), 4)):
         monkeypatch.setattr(nearcopies, "PAIRS_PER_MEMBER", pairs_at_once)
+        monkeypatch.setattr(nearcopies, "LEADERS", 3)
         rows = [(r["doc_id"], shingle_set(r["text"])) for r in table.collect()]
         sets = list({s for _, s in rows})
         root = {s: s for s in sets}
@@ -361,6 +363,66 @@ def test_peak_entropy(spark):
         assert value == pytest.approx(max(entropy(text[k : k + 16]) for k in range(len(text) - 15)))
 
 
+def plain_suspicious(text):
+    rest = re.sub(secrets.PLACEHOLDER, "", text)
+    if re.match(r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", rest) or not re.search("[A-Za-z]", rest):
+        return False
+    if re.match("^[a-z0-9_/-]+$", rest) and "/" in rest and not re.search("[^/]{13,}", rest):
+        return False
+    mixed = all(4 * sum(a <= c <= z for c in rest) >= len(rest) for a, z in ("az", "AZ"))
+    if re.match("^[A-Za-z+/_=-]+[0-9]{0,4}$", rest) and not mixed:
+        return False
+    width, least = next((w, e) for shape, w, e in secrets.CLASSES if re.search(shape, rest))
+    entropy = lambda s: -sum(c / width * math.log2(c / width) for c in Counter(s).values())
+    return any(entropy(rest[k : k + width]) >= least - 1e-9 for k in range(len(rest) - width + 1))
+
+
+def plain_spans(text):
+    base = []
+    for rank, (pattern, test) in enumerate((
+        (secrets.ASSIGN, lambda m: len(m[2]) >= 12), (r"AKIA[A-Z0-9]{14,}", lambda m: True), (r"[0-9a-f]{16,}", lambda m: True),
+    )):
+        base += [(m.start(), rank, m.end()) for m in re.finditer(pattern, text) if test(m)]
+    tried = [(m.start(), 3, m.end()) for m in re.finditer(secrets.CANDIDATE, text) if plain_suspicious(m[0])]
+    fresh = [e for e in tried if not any(b[0] <= e[0] and e[2] <= b[2] for b in base)]
+    return ",".join(f"{secrets.KINDS[r]}:{a}:{z}" for a, r, z in sorted(base + fresh))
+
+
+def test_entropy_spans(spark, real, monkeypatch):
+    rng = random.Random(3)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, of=signs: "".join(rng.choices(of, k=n))
+    texts = [
+        f"é {key(20)} and {key(23)}", f"id {key(16, '0123456789ABCDEF')} {key(19, signs[:26] + '0123456789')}", f"go {key(24, signs[:52])}!",
+        f"/sample/{key(30)}", f"see sample_{key(8)}_dummy1234567890", f"AbstractSingletonProxyFactoryBean {key(70, 'ab')}",
+        f"{key(300)}xxxx{key(300)}", f"token = {key(22)}/{key(5)} then {key(20)}0123456789abcdef{key(9)}", "docs/guide/part-one/chapter-two/index1",
+        f"{key(900)}", "".join(f"{key(30)} " + f"secret={key(14)};{key(18, '0123456789abcdef')} " for _ in range(40)),
+        "Z" * 600 + key(40), "123e4567-e89b-12d3-a456-426614174000", "", "9" * 40,
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for group in (512, 3):
+        monkeypatch.setattr(secrets, "GROUP", group)
+        for rows in (table, real) if group > 3 else (table,):
+            want = {r["doc_id"]: plain_spans(r["text"] or "") for r in rows.collect()}
+            assert {r["doc_id"]: r["spans"] for r in secrets.scan(rows).collect()} == want
+    found = {r["doc_id"]: r["n_entropy"] for r in secrets.scan(table).collect()}
+    assert [found[k] for k in (0, 1, 2, 3, 4, 5, 6, 8, 12)] == [2, 1, 1, 1, 0, 0, 1, 0, 0]
+
+
+def test_secrets_cost_what_the_text_is_long(spark):
+    rng = random.Random(4)
+    blob = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=240_000))
+    runs = " ".join(f"{rng.getrandbits(64):016x}" for _ in range(40_000))
+    seconds = []
+    for share in (8, 8, 1):  # the first one warms up
+        made = [(1, blob[: len(blob) // share]), (2, runs[: len(runs) // share])]
+        begin = time.perf_counter()
+        got = secrets.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()
+        seconds.append(time.perf_counter() - begin)
+    assert {r["doc_id"]: (r["n_hex"], r["n_entropy"]) for r in got} == {1: (0, 1), 2: (40_000, 0)}
+    assert seconds[2] < 16 * seconds[1] + 2, seconds
+
+
 def test_sharding(real, docs):
     import zlib
 
