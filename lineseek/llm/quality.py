@@ -11,11 +11,12 @@ from lineseek.llm.common import WHITE, let, whole, words
 from lineseek.runtime import materialize
 
 ROUNDS = 12
-START_ACCURACY = 0.8
 START_GOOD = 0.8
-# A rule is taken to be better than chance; that also keeps the two classes from swapping.
-ACCURACY_RANGE = (0.55, 0.99)
-GOOD_RANGE = (0.05, 0.95)
+# How often a rule that votes is right on a good text, and on a bad one. Bad texts are bad in one
+# or two ways, and most rules have nothing against them; a vote against a good text is rare.
+START_RIGHT = (0.97, 0.3)
+RIGHT_RANGE = (0.5, 0.999)
+GOOD_RANGE = (0.01, 0.99)
 SMOOTHING = 10.0
 
 # Name, when it votes good, when it votes bad; neither is an abstention.
@@ -25,7 +26,7 @@ RULES = (
     ("symbols", "n_symbols * 50 <= n_words", "n_symbols * 10 > n_words"),
     ("lines", "n_dup_lines * 20 <= n_lines", "n_dup_lines * 10 > 3 * n_lines"),
     ("repeats", "n_repeat_words * 5 <= n_words", "n_repeat_words * 5 > 2 * n_words"),
-    ("letters", "n_letters * 100 >= word_chars * 85", "n_letters * 100 < word_chars * 70"),
+    ("letters", "n_letters * 100 >= word_chars * 92", "n_letters * 100 < word_chars * 90"),
     ("capitals", "n_capitals * 5 <= n_letters", "n_capitals * 2 > n_letters"),
     ("sentences", "n_ends * 100 >= n_words", "n_ends = 0 and n_words >= 50"),
 )
@@ -82,41 +83,50 @@ def votes() -> list[Column]:
     return [F.when(F.expr(good), 1).when(F.expr(bad), 0).alias(f"v_{name}") for name, good, bad in RULES]
 
 
-def log_odds(good: float, accuracy: list[float]) -> Column:
+def log_odds(good: float, right: list[tuple[float, float]]) -> Column:
     total = F.lit(math.log(good / (1 - good)))
-    for (name, _, _), a in zip(RULES, accuracy):
-        weight = math.log(a / (1 - a))
-        total = total + F.coalesce(F.when(F.col(f"v_{name}") == 1, weight).when(F.col(f"v_{name}") == 0, -weight), F.lit(0.0))
+    for (name, _, _), (on_good, on_bad) in zip(RULES, right):
+        for_it, against = math.log(on_good / (1 - on_bad)), math.log((1 - on_good) / on_bad)
+        total = total + F.coalesce(F.when(F.col(f"v_{name}") == 1, for_it).when(F.col(f"v_{name}") == 0, against), F.lit(0.0))
     return total
 
 
-def posterior(good: float, accuracy: list[float]) -> Column:
-    return 1 / (1 + F.exp(-log_odds(good, accuracy)))
+def posterior(good: float, right: list[tuple[float, float]]) -> Column:
+    return 1 / (1 + F.exp(-log_odds(good, right)))
 
 
-def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """EM over vote patterns with counts: the share of good texts and each rule's accuracy.
+def clamp(x: float, low: float, high: float) -> float:
+    return round(min(max(x, low), high), 6)
 
-    There are at most 3 ** len(RULES) patterns however many texts there are. Pseudo-votes
-    at the starting values (SMOOTHING) make an empty table return those values.
+
+def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
+    """EM over vote patterns with counts: the share of good texts and each rule's two accuracies.
+
+    The second accuracy is at least one less the first, so a vote never speaks against what it
+    says, and the classes can't swap; a rule that votes alike on both weighs nothing. There are at
+    most 3 ** len(RULES) patterns however many texts there are. Pseudo-votes at the starting
+    values (SMOOTHING) make an empty table return those values.
     """
-    good, accuracy = START_GOOD, [START_ACCURACY] * len(RULES)
-    clamp = lambda x, between: min(max(x, between[0]), between[1])
+    good, right = START_GOOD, [START_RIGHT] * len(RULES)
     for _ in range(rounds):
-        p = F.col("_p")
-        sums = [F.sum("_n").alias("n"), F.sum(p * F.col("_n")).alias("g")]
+        p, n = F.col("_p"), F.col("_n")
+        sums = [F.sum("_n").alias("n"), F.sum(p * n).alias("g")]
         for name, _, _ in RULES:
             vote = F.col(f"v_{name}")
-            right = F.when(vote == 1, p).when(vote == 0, 1 - p)
-            sums += [F.sum(right * F.col("_n")).alias(f"r_{name}"), F.sum(F.when(vote.isNotNull(), F.col("_n"))).alias(f"c_{name}")]
-        got = patterns.withColumn("_p", posterior(good, accuracy)).agg(*sums).first().asDict()
-        share = lambda hits, cases, start: ((hits or 0.0) + SMOOTHING * start) / ((cases or 0) + SMOOTHING)
+            for key, share, correct in (("g", p, 1), ("b", 1 - p, 0)):
+                sums += [
+                    F.sum(F.when(vote == correct, share * n)).alias(f"r_{key}_{name}"),
+                    F.sum(F.when(vote.isNotNull(), share * n)).alias(f"c_{key}_{name}"),
+                ]
+        got = patterns.withColumn("_p", posterior(good, right)).agg(*sums).first().asDict()
+        part = lambda hits, cases, start: ((hits or 0.0) + SMOOTHING * start) / ((cases or 0) + SMOOTHING)
         # Rounded, as sums of doubles depend on the order in which tasks end.
-        good = round(clamp(share(got["g"], got["n"], START_GOOD), GOOD_RANGE), 6)
-        accuracy = [
-            round(clamp(share(got[f"r_{name}"], got[f"c_{name}"], START_ACCURACY), ACCURACY_RANGE), 6) for name, _, _ in RULES
-        ]
-    return good, accuracy
+        good, right = clamp(part(got["g"], got["n"], START_GOOD), *GOOD_RANGE), []
+        for name, _, _ in RULES:
+            one, two = (part(got[f"r_{k}_{name}"], got[f"c_{k}_{name}"], s) for k, s in zip("gb", START_RIGHT))
+            on_good = clamp(one, *RIGHT_RANGE)
+            right.append((on_good, clamp(two, 1 - on_good, RIGHT_RANGE[1])))
+    return good, right
 
 
 def judge(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -130,11 +140,11 @@ def judge(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         measures(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *votes())
     )
     patterns = materialize(measured.groupBy(*(f"v_{name}" for name, _, _ in RULES)).agg(F.count("*").alias("_n")))
-    good, accuracy = estimate(patterns, rounds)
+    good, right = estimate(patterns, rounds)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & (posterior(good, accuracy) >= 0.5)).alias("kept"),
-        posterior(good, accuracy).alias("quality"),
+        (~failed & (posterior(good, right) >= 0.5)).alias("kept"),
+        posterior(good, right).alias("quality"),
     )

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lineseek.llm import decontamination, language, mixing, nearcopies, quality, secrets, sharding, simhash, substrings, suffixes, tokens
 from lineseek.llm.queries import tokenizer_path
@@ -175,9 +176,40 @@ def test_quality(spark, real, docs):
         for r in got.collect():
             failed = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
             assert r["base_failed"] == failed and not (failed and r["kept"])
-    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").where("quality = 1")
-    good = quality.judge(real).where("not base_failed").join(labels, "doc_id").collect()
-    assert sum(r["kept"] for r in good) >= 0.95 * len(good)
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    passed = quality.judge(real).where("not base_failed").join(labels, "doc_id").collect()
+    good, bad = ([r for r in passed if r["label"] == k] for k in (1, 0))
+    assert sum(r["kept"] for r in good) >= 0.98 * len(good) > 0
+    assert sum(not r["kept"] for r in bad) >= 0.9 * len(bad) > 0
+
+
+def test_votes_are_weighed_as_plain_em_does(real):
+    names = [name for name, _, _ in quality.RULES]
+    rows = quality.measures(real).select(*quality.votes()).collect()
+    votes = [tuple(r[f"v_{name}"] for name in names) for r in rows]
+    good, right = quality.START_GOOD, [quality.START_RIGHT] * len(names)
+
+    def chance(vote):
+        odds = good / (1 - good)
+        for v, (a, b) in zip(vote, right):
+            odds *= 1 if v is None else a / (1 - b) if v else (1 - a) / b
+        return odds / (1 + odds)
+
+    for _ in range(quality.ROUNDS):
+        p = [chance(v) for v in votes]
+        extra = quality.SMOOTHING
+        rates = []
+        for k in range(len(names)):
+            cast = [(v[k], q) for v, q in zip(votes, p) if v[k] is not None]
+            one = (sum(q for v, q in cast if v) + extra * quality.START_RIGHT[0]) / (sum(q for _, q in cast) + extra)
+            two = (sum(1 - q for v, q in cast if not v) + extra * quality.START_RIGHT[1]) / (sum(1 - q for _, q in cast) + extra)
+            one = min(max(one, 0.5), 0.999)
+            rates.append((one, min(max(two, 1 - one), 0.999)))
+        good, right = min(max((sum(p) + extra * quality.START_GOOD) / (len(p) + extra), 0.01), 0.99), rates
+    want = {r["doc_id"]: chance(v) for r, v in zip(quality.measures(real).collect(), votes)}
+    for r in quality.judge(real).collect():
+        assert r["quality"] == pytest.approx(want[r["doc_id"]], abs=1e-3)
+        assert r["kept"] == (not r["base_failed"] and r["quality"] >= 0.5)
 
 
 def test_targets():
@@ -354,8 +386,6 @@ def test_secrets(real, docs):
 
 
 def test_peak_entropy(spark):
-    from pyspark.sql import functions as F
-
     texts = ["abcabcabcabcabcdefgh", "a" * 30, "q9Xv7Lp2Rt8Zk4Wm6Yb1Nc3H", "aaaaaaaaaaaabcdefghijklmnopaaaaaa"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(secrets.peak_entropy(F.col("t"), 16)).collect()
     for (value,), text in zip(got, texts):
