@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +23,10 @@ GRAM_SIZES = (1, 2, 3, 4)
 GROUP_CODES = 400_000
 # Share of rightly named calibration texts that rejection may cost.
 LOST_SHARE = 0.001
+# The low and the high end of the familiarity of real and of shuffled calibration texts.
+ENDS = (0.01, 0.99)
+# Fewer grams than this, three or four letters, say too little.
+LEAST_GRAMS = 12
 
 NOT_LETTERS = regex.compile(r"\P{L}+")
 LETTER = regex.compile(r"\p{L}")
@@ -35,6 +41,9 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    # log2 of how much commoner a bucket is in the fitted texts than if all were alike.
+    familiar: np.ndarray
+    least_familiar: float = -math.inf
 
 
 def clean(text: str) -> str:
@@ -103,16 +112,28 @@ def bucket_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return used, total[used]
 
 
-def logits(model: Model, texts: list[str]) -> np.ndarray:
+def shuffled(text: str) -> str:
+    """The text with its letters dealt anew to the letters' places: what no language looks like."""
+    text = clean(text)
+    letters = [c for c in text if c != " "]
+    random.Random(len(text)).shuffle(letters)
+    dealt = iter(letters)
+    return "".join(c if c == " " else next(dealt) for c in text)
+
+
+def logits(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text its logits, the mean familiarity of its grams, and their number."""
+    known = np.zeros(len(texts))
     sums = np.zeros((len(texts), len(model.languages)))
     seen = np.zeros(len(texts))
     for codes, owner, starts in pieces(texts):
         for at, buckets in grams(codes, starts):
             mine = owner[at]
             seen += np.bincount(mine, minlength=len(texts))
+            known += np.bincount(mine, model.familiar[buckets], len(texts))
             for k in range(sums.shape[1]):
                 sums[:, k] += np.bincount(mine, model.table[buckets, k], len(texts))
-    return sums / np.maximum(seen, 1)[:, None] + model.bias
+    return sums / np.maximum(seen, 1)[:, None] + model.bias, known / np.maximum(seen, 1), seen
 
 
 def softmax(values: np.ndarray) -> np.ndarray:
@@ -120,8 +141,13 @@ def softmax(values: np.ndarray) -> np.ndarray:
     return powers / powers.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
-    """Fit on four of five rows; set temperature and threshold on the fifth."""
+def train(rows: list[tuple]) -> Model:
+    """Fit on four of five rows (language, buckets, counts, the same two of the shuffled text).
+
+    The fifth sets the temperature and two thresholds: the least score, and the least
+    familiarity, halfway between the fifth's texts and the same texts with letters shuffled. Where
+    these overlap, no real text is given up for it.
+    """
     languages = sorted({row[0] for row in rows})
     number = {name: k for k, name in enumerate(languages)}
     rng = np.random.default_rng(7)
@@ -129,12 +155,17 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     weights = rng.normal(0, 0.1, (DIMENSIONS, len(languages)))
     bias = np.zeros(len(languages))
     if len(languages) == 0:
-        return Model([], emb @ weights, bias, 1.0, 0.0)
-    per, fit, calibration = {}, [], []
-    for name, buckets, counts in rows:
+        return Model([], emb @ weights, bias, 1.0, 0.0, np.zeros(BUCKETS))
+    per, fit, calibration, total, real, junk = {}, [], [], np.full(BUCKETS, 0.5), [], []
+    for name, buckets, counts, other, other_counts in rows:
         per[name] = per.get(name, -1) + 1
         share = (counts / max(counts.sum(), 1)).astype(float)
         (calibration if per[name] % 5 == 4 else fit).append((number[name], buckets, share))
+        if per[name] % 5 != 4:
+            total[buckets] += counts
+        elif counts.sum() >= LEAST_GRAMS:
+            real.append((buckets, share))
+            junk.append((other, other_counts / max(other_counts.sum(), 1)))
     steps = EPOCHS * len(fit)
     done = 0
     for _ in range(EPOCHS):
@@ -150,7 +181,12 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
             bias -= rate * 0.1 * error
             # A bucket moves by its share of the text, raised as mean vectors are short.
             emb[buckets] -= (rate * 20) * np.outer(share, back)
-    model = Model(languages, emb @ weights, bias, 1.0, 0.0)
+    model = Model(languages, emb @ weights, bias, 1.0, 0.0, np.log2(total / total.mean()))
+    if real:
+        low, high = (
+            np.quantile([share @ model.familiar[buckets] for buckets, share in texts], end) for texts, end in zip((real, junk), ENDS)
+        )
+        model.least_familiar = float((low + high) / 2 if high < low else min(share @ model.familiar[buckets] for buckets, share in real))
     if calibration:
         truth = np.array([row[0] for row in calibration])
         raw = np.array([share @ model.table[buckets] + bias for _, buckets, share in calibration])
@@ -187,18 +223,21 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     def count(batches):
         for batch in batches:
             found = [bucket_counts(text) for text in batch["text"]]
+            junk = [bucket_counts(shuffled(text)) for text in batch["text"]]
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
                     "lang": batch["lang"],
                     "buckets": [b.astype(np.int32) for b, _ in found],
                     "counts": [c.astype(np.int32) for _, c in found],
+                    "junk": [b.astype(np.int32) for b, _ in junk],
+                    "junk_counts": [c.astype(np.int32) for _, c in junk],
                 }
             )
 
-    got = sample.mapInPandas(count, "doc_id long, lang string, buckets array<int>, counts array<int>").collect()
+    got = sample.mapInPandas(count, "doc_id long, lang string, buckets array<int>, counts array<int>, junk array<int>, junk_counts array<int>").collect()
     got.sort(key=lambda row: (row["doc_id"], row["lang"], len(row["buckets"]), row["buckets"][:8]))
-    return train([(r["lang"], np.array(r["buckets"], int), np.array(r["counts"], float)) for r in got])
+    return train([(r["lang"], *(np.array(r[k], int) for k in ("buckets", "counts", "junk", "junk_counts"))) for r in got])
 
 
 def predictor(spark, model: Model):
@@ -212,11 +251,12 @@ def predictor(spark, model: Model):
             out = pd.DataFrame({"lang_pred": "und", "score": 0.0, "rejected": True}, index=range(len(texts)))
             usable = [k for k, t in enumerate(texts) if t is not None and LETTER.search(t)]
             if usable and model.languages:
-                chance = softmax(logits(model, [texts.iloc[k] for k in usable]) / model.temperature)
+                raw, known, seen = logits(model, [texts.iloc[k] for k in usable])
+                chance = softmax(raw / model.temperature)
                 best = chance.max(axis=1)
                 out.loc[usable, "lang_pred"] = np.array(model.languages, object)[chance.argmax(axis=1)]
                 out.loc[usable, "score"] = best
-                out.loc[usable, "rejected"] = best < model.threshold
+                out.loc[usable, "rejected"] = (best < model.threshold) | (known < model.least_familiar) | (seen < LEAST_GRAMS)
             yield out
 
     return predict
@@ -227,7 +267,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     Returns doc_id, held_out, lang_pred, score, rejected. A null text, or one without a
     letter, is `und` with score 0 and rejected; so is every text where nothing was
-    learned. Repeated rows are answered each; ties go to the first language in order.
+    learned. Rejected are also texts of three letters or so, and those whose grams are too
+    unfamiliar, as in other languages or shuffled letters. Repeated rows are answered each; ties go to the first language in order.
     """
     predict = predictor(docs.sparkSession, model or fit(docs))
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict("text").alias("_p")).select(

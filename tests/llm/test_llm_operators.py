@@ -83,6 +83,23 @@ def test_language(real, docs):
     assert {r["lang_pred"] for r in got if r["doc_id"] in (0, 1, 2, 6)} == {"und"}
 
 
+def test_what_is_no_learned_language_is_rejected(spark, real):
+    rng = random.Random(6)
+    model = language.fit(real)
+    foreign = [
+        "Быстрая лиса перепрыгнула через ленивую собаку, а потом ушла спать под старый мост у реки",
+        "今日は天気がいいので、公園まで歩いて行きました。そして本を読みました。",
+        "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=300)), "x", "zq",
+    ]
+    texts = [r["text"] for r in real.where("length(text) > 100 and lang is not null").collect()]
+    foreign += [language.shuffled(t) for t in texts[::9]]
+    made = spark.createDataFrame([(k, None, t) for k, t in enumerate(foreign)], "doc_id long, lang string, text string")
+    got = language.identify(made, model).collect()
+    assert sum(r["rejected"] for r in got) >= 0.97 * len(got) and all(r["rejected"] for r in got if r["doc_id"] < 5)
+    clean_ = language.identify(real.where("length(text) > 100"), model).collect()
+    assert sum(r["rejected"] for r in clean_) <= 0.01 * len(clean_)
+
+
 def test_long_text_has_the_grams_of_its_parts(monkeypatch):
     text = "".join(random.Random(1).choices("abc é", k=5000))
     before = language.bucket_counts(text)
