@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -141,8 +142,13 @@ def softmax(values: np.ndarray) -> np.ndarray:
     return powers / powers.sum(axis=-1, keepdims=True)
 
 
+def calibrates(doc_id: int) -> bool:
+    """A fifth of the rows, by id."""
+    return zlib.crc32(str(doc_id).encode()) // 4 % 5 == 4
+
+
 def train(rows: list[tuple]) -> Model:
-    """Fit on four of five rows (language, buckets, counts, the same two of the shuffled text).
+    """Fit on four of five rows (language, calibrates, buckets, counts, the same two of the shuffled text).
 
     The fifth sets the temperature and two thresholds: the least score, and the least
     familiarity, halfway between the fifth's texts and the same texts with letters shuffled. Where
@@ -156,12 +162,11 @@ def train(rows: list[tuple]) -> Model:
     bias = np.zeros(len(languages))
     if len(languages) == 0:
         return Model([], emb @ weights, bias, 1.0, 0.0, np.zeros(BUCKETS))
-    per, fit, calibration, total, real, junk = {}, [], [], np.full(BUCKETS, 0.5), [], []
-    for name, buckets, counts, other, other_counts in rows:
-        per[name] = per.get(name, -1) + 1
+    fit, calibration, total, real, junk = [], [], np.full(BUCKETS, 0.5), [], []
+    for name, held, buckets, counts, other, other_counts in rows:
         share = (counts / max(counts.sum(), 1)).astype(float)
-        (calibration if per[name] % 5 == 4 else fit).append((number[name], buckets, share))
-        if per[name] % 5 != 4:
+        (calibration if held else fit).append((number[name], buckets, share))
+        if not held:
             total[buckets] += counts
         elif counts.sum() >= LEAST_GRAMS:
             real.append((buckets, share))
@@ -223,7 +228,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     def count(batches):
         for batch in batches:
             found = [bucket_counts(text) for text in batch["text"]]
-            junk = [bucket_counts(shuffled(text)) for text in batch["text"]]
+            junk = [bucket_counts(shuffled(t) if calibrates(d) else "") for d, t in zip(batch["doc_id"], batch["text"])]
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
@@ -237,7 +242,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
 
     got = sample.mapInPandas(count, "doc_id long, lang string, buckets array<int>, counts array<int>, junk array<int>, junk_counts array<int>").collect()
     got.sort(key=lambda row: (row["doc_id"], row["lang"], len(row["buckets"]), row["buckets"][:8]))
-    return train([(r["lang"], *(np.array(r[k], int) for k in ("buckets", "counts", "junk", "junk_counts"))) for r in got])
+    return train([(r["lang"], calibrates(r["doc_id"]), *(np.array(r[k], int) for k in ("buckets", "counts", "junk", "junk_counts"))) for r in got])
 
 
 def predictor(spark, model: Model):
