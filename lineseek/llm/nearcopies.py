@@ -170,10 +170,24 @@ def cross_labels(named: DataFrame, lead: DataFrame) -> DataFrame:
     return ordered(both.select(F.col("rid").alias("a"), "b"))
 
 
+def early(n, place):
+    """Whether the shingle stands so early in its set that a set as large or larger may be met here first."""
+    return (SIMILAR + OUT_OF) * (n - place) >= 2 * SIMILAR * n
+
+
 def all_pairs(named: DataFrame) -> DataFrame:
-    """All pairs of a bucket that no chain links yet, met from the side with the smaller label."""
-    other = named.select("h", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    both = named.join(other, "h").where((F.col("label") < F.col("other")) & near_in_size(F.col("n"), F.col("m")))
+    """All pairs of a bucket that no chain links yet and that may be similar, if this is the first bucket they share.
+
+    Sets that first meet in their places i and j share at most min(n - i, m - j) shingles. Where that
+    is enough, the smaller set stands early, so others are met from early sets no larger only.
+    A similar pair is never lost: it is emitted in the first bucket that it shares.
+    """
+    near = named.where("early")
+    other = named.select("h", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("label").alias("other"))
+    smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("rid") < F.col("b")))
+    reach = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))
+    enough = (SIMILAR + OUT_OF) * reach >= SIMILAR * (F.col("n") + F.col("m"))
+    both = near.join(other, "h").where((F.col("label") != F.col("other")) & smaller & enough)
     return ordered(both.select(F.col("rid").alias("a"), "b"))
 
 
@@ -212,16 +226,20 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def shared_members(reps: DataFrame) -> DataFrame:
-    """(h, rid, n): the buckets of prefix shingles that hold several sets. One shuffle serves the count and the members."""
-    dealt = reps.select("rid", "n", F.explode("head").alias("h")).repartition("h")
-    several = dealt.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    """(h, rid, n, place, early): the buckets of prefix shingles in which a similar pair may meet first.
+
+    They hold several sets, one of them early. One shuffle serves the counts and the members.
+    """
+    dealt = reps.select("rid", "n", F.posexplode("head").alias("place", "h")).withColumn("early", early(F.col("n"), F.col("place")))
+    dealt = dealt.repartition("h")
+    several = dealt.groupBy("h").agg(F.count("*").alias("c"), F.max("early").alias("e")).where("c > 1 and e").select("h")
     return materialize(dealt.join(several, "h", "left_semi"))
 
 
 def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(rid, component): components of all similar pairs of `reps`, only those with a link.
 
-    Similar sets share a shingle of their prefixes, so they meet in its bucket. Members are
+    Similar sets share a shingle of their prefixes, so they meet in the bucket of the first such. Members are
     first compared with one leader, then in turns with LEADERS, LEADERS ** 2 .. of those with most
     links, then in all pairs that are not linked by then: a group of near copies costs its size,
     not its square, and turns grow with the logarithm of the largest bucket. Labels of earlier
@@ -233,12 +251,12 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     labels = materialize(components(found).select(F.col("node").alias("rid"), "component"))
     leaders = LEADERS
     while True:
-        named = members.join(labels, "rid", "left").select("h", "rid", "n", F.coalesce("component", "rid").alias("label"))
+        named = members.join(labels, "rid", "left").select("h", "rid", "n", "place", "early", F.coalesce("component", "rid").alias("label"))
         open_ = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
         named = materialize(named.join(open_, "h", "left_semi"))
-        squares = named.groupBy("h", "label").agg(F.count("*").cast("double").alias("c"))
-        squares = squares.groupBy("h").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p"), F.sum("c").alias("c"))
-        left, rows, largest = squares.agg(F.sum("p") / 2, F.sum("c"), F.max("c")).first()
+        squares = named.groupBy("h", "label").agg(F.count("*").cast("double").alias("c"), F.count_if("early").cast("double").alias("e"))
+        squares = squares.groupBy("h").agg((F.sum("e") * F.sum("c") - F.sum(F.col("e") * F.col("c"))).alias("p"), F.sum("c").alias("c"))
+        left, rows, largest = squares.agg(F.sum("p"), F.sum("c"), F.max("c")).first()
         if not left:
             release(members, named)
             return labels

@@ -526,6 +526,26 @@ def test_cells_rule_out_no_similar_pair():
     assert nearcopies.may_be_similar(nearcopies.cells_of(full), nearcopies.cells_of(full[:900]), 1000, 900)
 
 
+def test_all_pairs_emits_every_similar_pair_and_few_others(spark):
+    """Sets of one group, each with so many shingles of its own; the more of these, the later they first meet."""
+    from pyspark.sql import functions as F
+
+    rng, base, rows = random.Random(4), list(range(1000, 1100)), []
+    for rid in range(240):
+        own = rng.choice([3, 8, 18] if rid < 120 else [15, 18])
+        rows.append((rid, set(rng.sample(base, 100 - own)) | {10_000 + 100 * rid + k for k in range(own)}))
+    heads = []
+    for rid, own in rows:
+        order = sorted(own, key=lambda x: (x < 10_000, x))[: nearcopies.prefix_length(len(own))]
+        heads.append((rid, len(own), order))
+    members = nearcopies.shared_members(spark.createDataFrame(heads, "rid long, n int, head array<long>"))
+    got = {(r["a"], r["b"]) for r in nearcopies.all_pairs(members.withColumn("label", F.col("rid"))).collect()}
+    similar = {(a, b) for a, s in rows for b, t in rows if a < b and 5 * len(s & t) >= 4 * len(s | t)}
+    assert similar and similar <= got
+    # Of those with 15 or more of their own no two are similar, and none are emitted.
+    assert not any(a >= 120 and b >= 120 for a, b in got)
+
+
 def test_columns_of_any_name_keep_their_values(spark):
     """Names that the operators use themselves; every column has a value of its own to be known by."""
     names = ["_row", "_all", "_size", "_place", "_bs", "_block", "_shard", "_order", "_key", "_uid", "_same", "shard_id", "rid", "_best"]
