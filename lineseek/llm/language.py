@@ -233,16 +233,18 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
                 {
                     "doc_id": batch["doc_id"],
                     "lang": batch["lang"],
-                    "buckets": [b.astype(np.int32) for b, _ in found],
-                    "counts": [c.astype(np.int32) for _, c in found],
-                    "junk": [b.astype(np.int32) for b, _ in junk],
-                    "junk_counts": [c.astype(np.int32) for _, c in junk],
+                    # As bytes, four a number: lists of numbers would take many times that on the driver.
+                    "buckets": [b.astype("<i4").tobytes() for b, _ in found],
+                    "counts": [c.astype("<i4").tobytes() for _, c in found],
+                    "junk": [b.astype("<i4").tobytes() for b, _ in junk],
+                    "junk_counts": [c.astype("<i4").tobytes() for _, c in junk],
                 }
             )
 
-    got = sample.mapInPandas(count, "doc_id long, lang string, buckets array<int>, counts array<int>, junk array<int>, junk_counts array<int>").collect()
-    got.sort(key=lambda row: (row["doc_id"], row["lang"], len(row["buckets"]), row["buckets"][:8]))
-    return train([(r["lang"], calibrates(r["doc_id"]), *(np.array(r[k], int) for k in ("buckets", "counts", "junk", "junk_counts"))) for r in got])
+    parts = ("buckets", "counts", "junk", "junk_counts")
+    got = sample.mapInPandas(count, "doc_id long, lang string, buckets binary, counts binary, junk binary, junk_counts binary").collect()
+    got.sort(key=lambda row: (row["doc_id"], row["lang"], *(bytes(row[k]) for k in parts[:2])))
+    return train([(r["lang"], calibrates(r["doc_id"]), *(np.frombuffer(r[k], "<i4") for k in parts)) for r in got])
 
 
 def predictor(spark, model: Model):
