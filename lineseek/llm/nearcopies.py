@@ -165,11 +165,17 @@ def hub_pairs(named: DataFrame, found: DataFrame, leaders: int) -> DataFrame:
 
 def cross_labels(named: DataFrame, lead: DataFrame) -> DataFrame:
     """Pairs of a member and a leader of one bucket that no chain links yet."""
-    lead = lead.select("h", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    both = named.join(lead, "h").where((F.col("label") != F.col("other")) & near_in_size(F.col("n"), F.col("m")))
+    lead = lead.select("h", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("label").alias("other"))
+    both = named.join(lead, "h").where((F.col("label") != F.col("other")) & enough())
     return ordered(both.select(F.col("rid").alias("a"), "b"))
 
 
+def enough():
+    """Whether sets of n and m shingles that first meet in their places `place` and `at` may be similar."""
+    reach = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))
+    return (SIMILAR + OUT_OF) * reach >= SIMILAR * (F.col("n") + F.col("m"))
+
+
 def early(n, place):
     """Whether the shingle stands so early in its set that a set as large or larger may be met here first."""
     return (SIMILAR + OUT_OF) * (n - place) >= 2 * SIMILAR * n
@@ -185,9 +191,7 @@ def all_pairs(named: DataFrame) -> DataFrame:
     near = named.where("early")
     other = named.select("h", F.col("rid").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("label").alias("other"))
     smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("rid") < F.col("b")))
-    reach = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))
-    enough = (SIMILAR + OUT_OF) * reach >= SIMILAR * (F.col("n") + F.col("m"))
-    both = near.join(other, "h").where((F.col("label") != F.col("other")) & smaller & enough)
+    both = near.join(other, "h").where((F.col("label") != F.col("other")) & smaller & enough())
     return ordered(both.select(F.col("rid").alias("a"), "b"))
 
 
